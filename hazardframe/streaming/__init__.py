@@ -1,0 +1 @@
+"""Left empty on purpose: the job this library does is batch only, it has no streams."""
