@@ -1,7 +1,8 @@
 """Every registered query on the test tables, with the oracle SQL of those that have one."""
 
-from catalog import reports
+from catalog import cleaning, reports
+from oracle import cleaning as oracle_cleaning
 from oracle import reports as oracle_reports
 
-QUERIES = {**reports.QUERIES}
-ORACLES = {**oracle_reports.ORACLES}
+QUERIES = {**reports.QUERIES, **cleaning.QUERIES}
+ORACLES = {**oracle_reports.ORACLES, **oracle_cleaning.ORACLES}

@@ -1,4 +1,4 @@
-"""Equi-joins in which NULL keys match each other. Spark chooses the join by measured size."""
+"""Equi-joins that add columns by key."""
 
 from __future__ import annotations
 
@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.functions.scalar import all_of
+from hazardframe.session import shared_dir
+
+# A lookup table is broadcast only if its counted rows are at most this many.
+BROADCAST_ROWS = 100_000
 
 
 def attach(
@@ -17,16 +21,43 @@ def attach(
     columns: Sequence[str],
     how: str = "left",
     null_keys: bool = True,
+    right_keys: Sequence[str] | None = None,
+    small: bool = False,
 ) -> DataFrame:
     """Add ``columns`` of ``right`` by key; the key columns of the result are the left ones.
 
-    With ``null_keys=False`` a NULL key matches nothing. There is no broadcast hint:
-    adaptive execution broadcasts ``right`` when its real size allows.
+    ``right_keys`` names the keys on the right if they differ. With ``null_keys=False``
+    a NULL key matches nothing. ``small`` asks for a broadcast: only for a checked size.
     """
     names = [f"_k{i}" for i in range(len(keys))]
-    picked = right.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], *columns)
+    picked = right.select(*[F.col(k).alias(n) for k, n in zip(right_keys or keys, names)], *columns)
     tests = [
         F.col(k).eqNullSafe(F.col(n)) if null_keys else F.col(k) == F.col(n)
         for k, n in zip(keys, names)
     ]
-    return left.join(picked, all_of(tests), how).drop(*names)
+    return left.join(F.broadcast(picked) if small else picked, all_of(tests), how).drop(*names)
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared checkpoint folder, cutting the lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def lookup(
+    df: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    right_keys: Sequence[str] | None = None,
+) -> DataFrame:
+    """Left join of rows with a materialised per-group table, whose size is counted first.
+
+    A small table is broadcast, so the rows are not shuffled and a hot key does no
+    harm. A large one is joined by shuffle, where adaptive execution splits hot keys.
+    NULL keys match nothing.
+    """
+    small = table.count() <= BROADCAST_ROWS
+    return attach(df, table, keys, columns, null_keys=False, right_keys=right_keys, small=small)

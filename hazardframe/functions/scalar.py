@@ -24,9 +24,13 @@ def clip(c: Column | str, low: float | None = None, high: float | None = None) -
     return out
 
 
+# Every character that counts as white space in Unicode.
+WHITE_SPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def strip(c: Column | str) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(WHITE_SPACE))
 
 
 def capitalise(c: Column | str) -> Column:

@@ -90,7 +90,7 @@ def cap_cost(df: DataFrame, r: Roles = INCIDENT, prob: float = 0.999, accuracy:
     """Cap costs at an upper quantile."""
     cap = median_cell(df, r.cost, prob, accuracy)
     cost = F.col(r.cost).cast("double")
-    return df.withColumn(r.cost, F.when(cost > cap, cap).otherwise(cost))
+    return df.withColumn(r.cost, F.when(cost.isNotNull(), F.least(cost, cap)))
 
 
 def encode_severity(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:

@@ -73,7 +73,7 @@ def main() -> int:
             else:
                 problems = [] if got.num_rows else ["no rows"]
         except Exception as e:  # report and go on with the next query
-            took, got, problems = time.time() - start, None, [f"{type(e).__name__}: {str(e)[:1500]}"]
+            took, got, problems = time.time() - start, None, [f"{type(e).__name__}: {str(e)[:400]}"]
         status = "FAIL" if problems else ("ok" if name in ORACLES else "rows")
         failed += bool(problems)
         print(f"{status:5} {name:32} {took:6.2f}s {got.num_rows if got is not None else '-'}", *problems, flush=True)
