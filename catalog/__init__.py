@@ -1,8 +1,11 @@
 """Every registered query on the test tables, with the oracle SQL of those that have one."""
 
-from catalog import cleaning, reports
-from oracle import cleaning as oracle_cleaning
-from oracle import reports as oracle_reports
+from importlib import import_module
 
-QUERIES = {**reports.QUERIES, **cleaning.QUERIES}
-ORACLES = {**oracle_reports.ORACLES, **oracle_cleaning.ORACLES}
+GROUPS = ["reports", "cleaning", "quality"]
+
+QUERIES = {}
+ORACLES = {}
+for _group in GROUPS:
+    QUERIES |= import_module(f"catalog.{_group}").QUERIES
+    ORACLES |= import_module(f"oracle.{_group}").ORACLES
