@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["reports", "cleaning", "quality"]
+GROUPS = ["reports", "cleaning", "quality", "features"]
 
 QUERIES = {}
 ORACLES = {}
