@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["reports", "cleaning", "quality", "features"]
+GROUPS = ["reports", "cleaning", "quality", "features", "stats", "frames", "metrics"]
 
 QUERIES = {}
 ORACLES = {}

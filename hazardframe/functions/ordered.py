@@ -9,7 +9,7 @@ group, and the values inside one bucket.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,17 +77,18 @@ def running_sums(
     )
 
 
-def quantiles_of_counts(
+def order_statistics(
     counts: DataFrame,
     keys: Sequence[str],
-    probs: Mapping[str, float],
+    ranks: Mapping[str, Callable[[Column], Column]],
     value: str = "value",
     bucket: Column | None = None,
 ) -> DataFrame:
-    """Exact linearly interpolated quantiles per key from counted values.
+    """Values at given ranks (from 0) of each key's ascending order, from counted values.
 
-    Returns the keys, ``n`` and one double column per entry of ``probs``. Only the
-    buckets that hold a wanted rank are ordered inside; the rest is just summed.
+    ``ranks`` maps an output column to a function of the key's row count. Returns the
+    keys, ``n`` and the values. Only the buckets that hold a wanted rank are ordered
+    inside; all others are just summed.
     """
     bucket = log_bucket(F.col(value)) if bucket is None else bucket
     spread = counts.withColumn("_b", bucket)
@@ -97,35 +98,42 @@ def quantiles_of_counts(
     totals = totals.select(
         *keys, "_b", "_t", F.sum("_t").over(running).alias("_end"), F.sum("_t").over(group).alias("_n")
     )
-    position = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    ranks = [F.floor(p) for p in position.values()] + [F.ceil(p) for p in position.values()]
-    hit = F.exists(
-        F.array(*ranks), lambda k: (k >= F.col("_end") - F.col("_t")) & (k < F.col("_end"))
-    )
-    wanted = totals.where(hit).select(
-        *keys, "_b", "_n", (F.col("_end") - F.col("_t")).alias("_base")
-    )
+    wanted_ranks = [rank(F.col("_n")) for rank in ranks.values()]
+    hit = F.lit(False)
+    for k in wanted_ranks:
+        hit = hit | ((k >= F.col("_end") - F.col("_t")) & (k < F.col("_end")))
+    wanted = totals.where(hit).select(*keys, "_b", "_n", (F.col("_end") - F.col("_t")).alias("_base"))
     values = attach(spread, wanted, [*keys, "_b"], ["_n", "_base"], how="inner")
     inside = (
-        Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    values = values.withColumn("_end", F.col("_base") + F.sum("n").over(inside)).withColumn(
-        "_start", F.col("_end") - F.col("n")
+        Window.partitionBy(*keys, "_b")
+        .orderBy(value)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    end = F.col("_base") + F.sum("n").over(inside)
+    values = values.withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("n"))
+    picks = [
+        F.max(F.when((k >= F.col("_start")) & (k < F.col("_end")), F.col(value))).alias(name)
+        for name, k in zip(ranks, wanted_ranks)
+    ]
+    return values.groupBy(*keys).agg(F.max("_n").alias("n"), *picks)
 
-    def at(rank: Column) -> Column:
-        held = (rank >= F.col("_start")) & (rank < F.col("_end"))
-        return F.max(F.when(held, F.col(value).cast("double")))
 
-    picks = []
-    for name, p in position.items():
-        picks += [at(F.floor(p)).alias(f"_lo_{name}"), at(F.ceil(p)).alias(f"_hi_{name}")]
-    found = values.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+def quantiles_of_counts(
+    counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float], value: str = "value"
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per key: the keys, ``n``, a double per entry of ``probs``."""
+    position = lambda p: lambda n: (n - 1) * F.lit(float(p))
+    ranks = {}
+    for name, p in probs.items():
+        ranks[f"_lo_{name}"] = lambda n, at=position(p): F.floor(at(n))
+        ranks[f"_hi_{name}"] = lambda n, at=position(p): F.ceil(at(n))
+    found = order_statistics(counts, keys, ranks, value)
     out = []
-    for name, p in position.items():
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        out.append((low + (high - low) * (p - F.floor(p))).alias(name))
-    return found.select(*keys, F.col("_n").alias("n"), *out)
+    for name, p in probs.items():
+        low, high = F.col(f"_lo_{name}").cast("double"), F.col(f"_hi_{name}").cast("double")
+        place = position(p)(F.col("n"))
+        out.append((low + (high - low) * (place - F.floor(place))).alias(name))
+    return found.select(*keys, "n", *out)
 
 
 def quantiles(

@@ -95,6 +95,16 @@ ALLOWED_VALUES = {
     "region": ["Maritime", "Plateaux", "Centrale", "Kara", "Savanes"],
 }
 
+# Columns of the published association ranking and correlation matrix.
+ASSOCIATED = [
+    "region", "type_route", "meteo", "luminosite", "type_vehicule", "cause", "etat_route",
+    "port_casque", "port_ceinture", "type_accident", "periode_journaliere",
+]
+CORRELATED = [
+    "heure", "nombre_vehicules", "nombre_victimes", "nombre_deces", "limitation_vitesse",
+    "vitesse_estimee", "exces_vitesse", "intervention_secours", "cout_estime", "gravite_num",
+]
+
 # --------------------------------------------------------------------------
 
 RAW_SCHEMA = T.StructType(

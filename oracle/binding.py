@@ -79,4 +79,5 @@ def on_repaired(body: str, *ctes: str) -> str:
 
 def rnd(expr: str, digits: int) -> str:
     """Round half up on the decimal value, the rule Spark's round() follows for doubles."""
-    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,12)), {digits}) AS DOUBLE)"
+    scale = 18 if digits >= 6 else 12
+    return f"CAST(round(CAST(({expr}) AS DECIMAL(38,{scale})), {digits}) AS DOUBLE)"
