@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["reports", "cleaning", "quality", "features", "stats", "frames", "metrics"]
+GROUPS = ["reports", "cleaning", "quality", "features", "stats", "frames", "metrics", "model"]
 
 QUERIES = {}
 ORACLES = {}
