@@ -33,21 +33,11 @@ def strip(c: Column | str) -> Column:
     return F.trim(col(c), F.lit(WHITE_SPACE))
 
 
-def capitalise(c: Column | str) -> Column:
-    """First letter upper, all others lower (``initcap`` would do so for every word)."""
-    text = col(c)
-    return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substring(text, 2, 2**31 - 1)))
-
-
 def flag(predicate: Column) -> Column:
     """1 where true, 0 where false or unknown."""
     return F.coalesce(predicate, F.lit(False)).cast("int")
 
 
-def fixed(labels: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in labels])
-
-
 def mapped(c: Column | str, table: Mapping[str, object], default: object = None) -> Column:
     """CASE lookup of a small fixed table."""
     branches = [(col(c) == key, F.lit(value)) for key, value in table.items()]

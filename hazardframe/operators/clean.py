@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardframe.functions.ordered import median_cell
-from hazardframe.functions.scalar import all_of, capitalise, clip, mapped, strip
+from hazardframe.functions.scalar import all_of, clip, mapped, strip
 from hazardframe.roles import INCIDENT, NO, SEVERITY_ORDER, YES, Roles
 
 BINARY_ROLES = ("helmet", "belt", "holiday")
@@ -52,12 +52,12 @@ def repair_negative_cost(df: DataFrame, r: Roles = INCIDENT, accuracy: int | Non
     return df.withColumn(r.cost, F.when(cost < 0, fair).otherwise(cost.cast("double")))
 
 
-def standardise_binary(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
-    """Yes/no columns to exactly two spellings; anything else is unknown."""
+def standardise_binary(df: DataFrame, r: Roles = INCIDENT, trimmed: bool = False) -> DataFrame:
+    """Yes/no columns, in any case and padding, to exactly two spellings; anything else is unknown."""
     out = {}
     for name in _present(df, [getattr(r, role) for role in BINARY_ROLES]):
-        text = capitalise(strip(name))
-        out[name] = F.when(text.isin(YES, NO), text)
+        text = F.lower(F.col(name) if trimmed else strip(name))
+        out[name] = mapped(text, {YES.lower(): YES, NO.lower(): NO})
     return df.withColumns(out) if out else df
 
 
@@ -68,7 +68,7 @@ def repair_rows(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
     for column, step in steps.items():
         if column in df.columns:
             df = step(df, r)
-    return standardise_binary(df, r)
+    return standardise_binary(df, r, trimmed=True)
 
 
 def keep_first(df: DataFrame, tie: Sequence[Column | str], r: Roles = INCIDENT) -> DataFrame:

@@ -42,16 +42,31 @@ def _scaled_sum(c: str, unit: float, digits: int) -> Column:
 def kpis(df: DataFrame, r: Roles = INCIDENT, rsd: float | None = None) -> DataFrame:
     """Global key figures. ``rsd`` swaps the exact distinct counts for sketches."""
     distinct = (lambda c: F.approx_count_distinct(c, rsd)) if rsd else F.count_distinct
-    return df.agg(
-        n_rows().alias("total_accidents"),
-        _total(r.deaths, "total_deces"),
-        _total(r.victims, "total_victimes"),
-        mean(r.victims, 2).alias("moy_victimes_par_accident"),
-        deaths_per_100(r.deaths).alias("taux_mortalite_pct"),
-        F.round(F.avg(r.cost) / F.lit(1e6), 3).alias("cout_moyen_MFCFA"),
-        (F.sum(r.cost) / F.lit(1e9)).alias("cout_total_GFCFA"),
-        F.min(r.date).alias("date_debut"),
-        F.max(r.date).alias("date_fin"),
+    # Group by the counted columns first: what is left for the distinct counts is small.
+    places = [r.region, r.town, r.road]
+    groups = df.groupBy(*places).agg(
+        n_rows().alias("_n"),
+        _total(r.deaths, "_deaths"),
+        _total(r.victims, "_victims"),
+        F.count(r.victims).alias("_known_victims"),
+        _total(r.cost, "_cost"),
+        F.count(r.cost).alias("_known_costs"),
+        F.min(r.date).alias("_first"),
+        F.max(r.date).alias("_last"),
+    )
+    total = {c: F.sum(c) for c in groups.columns[3:]}
+    mean_victims = F.try_divide(total["_victims"], total["_known_victims"])
+    mean_cost = F.try_divide(total["_cost"], total["_known_costs"])
+    return groups.agg(
+        F.coalesce(total["_n"], F.lit(0)).alias("total_accidents"),
+        total["_deaths"].alias("total_deces"),
+        total["_victims"].alias("total_victimes"),
+        F.round(mean_victims, 2).alias("moy_victimes_par_accident"),
+        F.round(per_100(total["_deaths"], total["_n"]), 2).alias("taux_mortalite_pct"),
+        F.round(mean_cost / F.lit(1e6), 3).alias("cout_moyen_MFCFA"),
+        (total["_cost"] / F.lit(1e9)).alias("cout_total_GFCFA"),
+        F.min("_first").alias("date_debut"),
+        F.max("_last").alias("date_fin"),
         distinct(F.col(r.region)).alias("nb_regions"),
         distinct(F.col(r.town)).alias("nb_villes"),
         distinct(F.col(r.road)).alias("nb_axes_routiers"),

@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.functions.joins import attach
+from hazardframe.functions.joins import attach, materialise
 from hazardframe.functions.ordered import value_counts
 from hazardframe.functions.scalar import col, n_rows, per_100, share, weighted_mean
 from hazardframe.roles import FATAL, INCIDENT, Roles
@@ -63,6 +63,7 @@ def association_ranking(
     counts = cells.groupBy(F.substring("column", 3, 1000).alias("column"), "_x", "_y").agg(
         n_rows().cast("double").alias("_o")
     )
+    counts = materialise(counts)  # the contingency tables; everything below reads only these
     rows = counts.groupBy("column", "_x").agg(F.sum("_o").alias("_r"))
     cols = counts.groupBy("column", "_y").agg(F.sum("_o").alias("_c"))
     full = attach(attach(counts, rows, ["column", "_x"], ["_r"]), cols, ["column", "_y"], ["_c"])
@@ -95,14 +96,16 @@ def cramers_v(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Lower triangle of pairwise-complete Pearson correlations, all in one aggregation."""
-    pairs = {f"{a}|{b}": F.corr(F.col(a).cast("double"), F.col(b).cast("double")) for b, a in combinations(columns, 2)}
-    one_row = df.agg(*[c.alias(name) for name, c in pairs.items()])
-    long = one_row.unpivot([], [F.col(f"`{name}`") for name in pairs], "pair", "corr")
-    ends = F.split("pair", r"\|")
-    return long.select(
-        ends[0].alias("row"), ends[1].alias("column"), F.round(F.nanvl("corr", F.lit(None)), 6).alias("corr")
-    )
+    """Lower triangle of pairwise-complete Pearson correlations, all from one grouping."""
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    pairs = list(combinations(columns, 2))
+    cells = [x for i, (b, a) in enumerate(pairs) for x in (F.lit(i), F.col(a), F.col(b))]
+    # One row per pair: 45 correlations as one aggregate each would outgrow generated code.
+    long = numbers.select(F.stack(F.lit(len(pairs)), *cells).alias("pair", "x", "y"))
+    found = long.groupBy("pair").agg(F.corr("x", "y").alias("corr"))
+    name = lambda side: F.element_at(F.array(*[F.lit(p[side]) for p in pairs]), F.col("pair") + 1)
+    known = F.when(~F.isnan("corr"), F.col("corr"))
+    return found.select(name(1).alias("row"), name(0).alias("column"), F.round(known, 6).alias("corr"))
 
 
 def kernel_density(

@@ -73,3 +73,17 @@ def test_search_and_importance(spark, rows):
     assert top["feature"] == "vitesse_estimee"
     curve = L.learning_curve(train, L.forest(numTrees=2, maxDepth=2), ["accident_id"], sizes=(0.5, 1.0), folds=2)
     assert [round(c["size"], 1) for c in curve] == [0.5, 1.0]
+
+
+def test_all_stages(spark, sf_dir, tmp_path):
+    from hazardframe.plans.everything import run_all
+    from hazardframe.sources.tables import load_json
+    from hazardframe.sources.testbed import TIE_KEY, incidents
+
+    raw = incidents(spark, sf_dir, tie_key=True)
+    out = run_all(raw, TIE_KEY, str(tmp_path), drop=TIE_KEY, folds=0, settings=LIGHT)
+    assert len(out["features"].columns) == 71
+    assert len(list((tmp_path / "reports").iterdir())) == 11
+    report = load_json(spark, str(tmp_path / "final_report"))
+    assert report["best_model"] == out["comparison"].first()["model_name"]
+    assert load_json(spark, str(tmp_path / "models/metrics"))["best_model"] == report["best_model"]
