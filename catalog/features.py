@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog.relations import clean, on_repaired, repaired
 from hazardframe.operators import features as X
+from hazardframe.operators.quality import feature_summary
 
 ROUNDED = [
     "heure_sin", "heure_cos", "mois_sin", "mois_cos", "jour_sin", "jour_cos",
@@ -40,6 +41,13 @@ def _feature_set(spark, sf_dir):
     return X.select_features(df, ["behavioral"], keep=["accident_id"])
 
 
+def _summary(df):
+    """Describe whichever of the catalogued features the table has; text and absent ones are left out."""
+    names = [c for group in X.FEATURE_SETS.values() for c in group]
+    figures = feature_summary(X.behaviour_features(df), names)
+    return figures.withColumns({c: F.round(c, 9) for c in ("mean", "std", "q25", "q50", "q75", "min", "max")})
+
+
 CALENDAR = "date_accident heure"
 BEHAVIOUR = "cause port_casque port_ceinture vitesse_estimee limitation_vitesse"
 SURROUNDINGS = "meteo luminosite etat_route type_route limitation_vitesse"
@@ -79,5 +87,6 @@ QUERIES = {
         X.encode_binary, "port_casque port_ceinture accident_fete", "port_casque port_ceinture accident_fete"
     ),
     "feature_set_behaviour": _feature_set,
+    "feature_summary": on_repaired(_summary, "cause port_casque port_ceinture vitesse_estimee limitation_vitesse nombre_victimes"),
     "features_of_clean": lambda spark, sf_dir: _rounded(X.build_features(clean(spark, sf_dir))),
 }

@@ -1,9 +1,28 @@
 """The analytical reports over the row-repaired table."""
 
+from pyspark.sql import functions as F
+
 from catalog.relations import on_repaired
 from hazardframe.operators import reports as R
+from hazardframe.sources.tables import query, read_table
+
+VIEW_SQL = """
+SELECT region, type_route, count(*) AS n, sum(nombre_deces) AS deces
+FROM accidents WHERE heure BETWEEN 18 AND 23 GROUP BY region, type_route
+"""
+
+
+def scan_table(spark, sf_dir):
+    """A Parquet file read by its suffix, whole."""
+    lines = read_table(spark, f"{sf_dir.rstrip('/')}/lineitem.parquet")
+    return lines.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_orderkey").alias("last_order")
+    )
+
 
 QUERIES = {
+    "scan_table": scan_table,
+    "sql_view": on_repaired(query, "region type_route nombre_deces heure", sql=VIEW_SQL),
     "kpis": on_repaired(
         R.kpis, "nombre_deces nombre_victimes cout_estime date_accident region ville axe_routier"
     ),
@@ -20,6 +39,7 @@ QUERIES = {
     "top_roads": on_repaired(R.top_roads, "axe_routier nombre_deces vitesse_estimee ville"),
     "causes_by_severity": on_repaired(R.causes_by_severity, "cause gravite"),
     "cause_severity_pivot": on_repaired(R.cause_severity_pivot, "cause gravite"),
+    "cause_severity_pivot_filled": on_repaired(R.cause_severity_pivot, "cause gravite", fill=0),
     "speed_profile": on_repaired(
         R.speed_profile, "gravite type_route vitesse_estimee limitation_vitesse"
     ),

@@ -160,8 +160,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int
     cells = _long(df, names, "double")
     moments = cells.groupBy("column").agg(
         F.count("value").alias("count"),
-        F.round(F.avg("value"), 6).alias("mean"),
-        F.round(F.stddev("value"), 6).alias("std"),
+        F.avg("value").alias("mean"),
+        F.stddev("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
         F.round(per_100(F.count_if(F.col("value").isNull()), n_rows()), 4).alias("missing_pct"),

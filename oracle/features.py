@@ -1,6 +1,6 @@
 """DuckDB oracles of the feature columns."""
 
-from oracle.binding import on_repaired
+from oracle.binding import on_repaired, rnd
 from oracle.cleaning import on_clean
 
 D = "date_accident"
@@ -76,6 +76,24 @@ COUNTS = """count(accident_id) OVER (PARTITION BY axe_routier) AS nb_accidents_a
 BINARY = ", ".join(f"{_flag(f'''{c} = 'Oui' ''')} AS {c}" for c in ("port_casque", "port_ceinture", "accident_fete"))
 
 
+SUMMARISED = [
+    "limitation_vitesse", "nombre_victimes", "exces_vitesse", "ratio_vitesse", "score_risque_comportemental",
+    "is_alcool", "is_distracteur", "is_fatigue", "is_exces_vitesse", "epi_double", "no_epi",
+]
+
+
+def _summary():
+    cell = lambda c: (
+        f"SELECT '{c}' AS \"column\", count({c}) AS count, {rnd(f'avg({c}::DOUBLE)', 9)} AS mean, "
+        f"{rnd(f'stddev_samp({c}::DOUBLE)', 9)} AS std, {rnd(f'min({c}::DOUBLE)', 9)} AS min, "
+        + ", ".join(f"{rnd(f'quantile_cont({c}::DOUBLE, 0.{q})', 9)} AS q{q}" for q in (25, 50, 75))
+        + f", {rnd(f'max({c}::DOUBLE)', 9)} AS max, "
+        f"{rnd(f'100 * count(*) FILTER (WHERE {c} IS NULL)::DOUBLE / count(*)', 4)} AS missing_pct FROM feat"
+    )
+    table = f"feat AS (SELECT limitation_vitesse, nombre_victimes, {SPEEDING}, {BEHAVIOUR}, {CAUSE_FLAGS} FROM rep)"
+    return on_repaired("\nUNION ALL ".join(cell(c) for c in SUMMARISED), table)
+
+
 def _pick(*expressions):
     return on_repaired(f"SELECT accident_id, {', '.join(expressions)} FROM rep")
 
@@ -98,6 +116,7 @@ ORACLES = {
         SPEEDING, BEHAVIOUR, CAUSE_FLAGS, _flag("port_casque = 'Oui'") + " AS port_casque",
         _flag("port_ceinture = 'Oui'") + " AS port_ceinture",
     ),
+    "feature_summary": _summary(),
     "features_of_clean": on_clean(
         f"""SELECT * REPLACE ({BINARY}),
   {CALENDAR}, {CYCLES}, {TIME_FLAGS}, {SPEEDING}, {BEHAVIOUR}, {CAUSE_FLAGS}, {ENVIRONMENT}, {ROAD_ORDER},

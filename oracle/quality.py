@@ -26,8 +26,8 @@ SLIM = f"slim AS (SELECT {', '.join(COLUMNS)} FROM raw)"
 MISSING = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in COLUMNS)
 
 DESCRIBE = (
-    "SELECT '{c}' AS \"column\", count({c}) AS count, " + rnd("avg({c}::DOUBLE)", 6) + " AS mean, "
-    + rnd("stddev_samp({c}::DOUBLE)", 6) + " AS std, min({c})::DOUBLE AS min, "
+    "SELECT '{c}' AS \"column\", count({c}) AS count, " + rnd("avg({c}::DOUBLE)", 9) + " AS mean, "
+    + rnd("stddev_samp({c}::DOUBLE)", 9) + " AS std, min({c})::DOUBLE AS min, "
     "quantile_cont({c}::DOUBLE, 0.25) AS q25, quantile_cont({c}::DOUBLE, 0.5) AS q50, "
     "quantile_cont({c}::DOUBLE, 0.75) AS q75, max({c})::DOUBLE AS max, "
     + rnd("100 * count(*) FILTER (WHERE {c} IS NULL)::DOUBLE / count(*)", 4) + " AS missing_pct FROM {table}"

@@ -158,3 +158,16 @@ def over(relation: str, name: str) -> str:
 
 
 ORACLES = {name: on_repaired(over("rep", name)) for name in BODIES}
+ORACLES["scan_table"] = (
+    "SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS quantity, max(l_orderkey) AS last_order "
+    "FROM lineitem GROUP BY ALL"
+)
+ORACLES["sql_view"] = on_repaired(
+    "SELECT region, type_route, count(*) AS n, CAST(sum(nombre_deces) AS BIGINT) AS deces "
+    "FROM rep WHERE heure >= 18 GROUP BY region, type_route"
+)
+ORACLES["cause_severity_pivot_filled"] = on_repaired(
+    "SELECT cause, "
+    + ", ".join(f"count(*) FILTER (WHERE gravite = '{c}') AS \"{c}\"" for c in ("Léger", "Grave", "Mortel"))
+    + " FROM rep GROUP BY cause"
+)
