@@ -57,7 +57,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(
-    df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
+    df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
 ) -> DataFrame:
     """mapInArrow with this package at hand on the executors."""
     ship(df.sparkSession)

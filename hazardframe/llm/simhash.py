@@ -271,3 +271,13 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     heads = keep(placed.groupBy("component").agg(F.min("least").alias("component_id")), "heads")
     named = keep(placed.join(heads, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(key, "fp", "component_id")
+
+
+def representatives(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of `docs`, all columns, of each group: that of its least key, of repeats any one.
+    Rows without a key stay only where their whole group has none, one of them."""
+    groups = near_duplicates(docs, radius, text, key)
+    heads = groups.filter(F.col(key).eqNullSafe(F.col("component_id")))
+    heads = keep(heads.select(F.col(key).alias("head"), "fp").distinct(), "heads")
+    kept = docs.join(heads, docs[key].eqNullSafe(heads["head"]), "left_semi")
+    return kept.dropDuplicates([key])
