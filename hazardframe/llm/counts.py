@@ -31,6 +31,20 @@ _UNEVEN = re.compile(r" \s|\s |^\s|\s$")
 _NONE = np.int64(1) << 40
 
 
+_PIECES = regex.compile(PATTERN)
+
+
+def stretches(text: str) -> list[str]:
+    """Stretches of a text without special tokens that are cut alike whatever stands around them:
+    words with the space before them or, where white space is uneven, the pre-tokens."""
+    if _UNEVEN.search(text):
+        return _PIECES.findall(text)
+    if not text:
+        return []
+    head, *rest = text.split(" ")
+    return [head, *[" " + r for r in rest]]
+
+
 class ByteBpe:
     """Counts of a byte-level vocabulary without normaliser, from its JSON file."""
 
@@ -44,7 +58,6 @@ class ByteBpe:
         self.keys, self.ranks = keys[order], order.astype(np.int64)
         self.made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.byte = np.array([vocab[c] for c in byte_letters()], np.int64)
-        self.pieces = regex.compile(PATTERN)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.cut = re.compile("|".join(map(re.escape, special))) if special else None
         self.seen: dict[str, int] = {}
@@ -83,22 +96,15 @@ class ByteBpe:
             symbols, owner = symbols[stay], owner[stay]
         return out
 
-    def stretches(self, text: str) -> list[str]:
-        """Stretches whose tokens don't depend on what stands around them."""
-        if _UNEVEN.search(text):
-            return self.pieces.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *[" " + r for r in rest]]
-
     def count(self, texts: list[str]) -> list[int]:
         plain, extra = [], []
         for t in texts:
             parts = self.cut.split(t) if self.cut else [t]
-            plain.append(list(chain.from_iterable(self.stretches(p) for p in parts if p)))
+            plain.append(list(chain.from_iterable(stretches(p) for p in parts)))
             extra.append(len(parts) - 1)
         new = list(set(chain.from_iterable(plain)).difference(self.seen))
         if new:
-            pieces = [self.pieces.findall(s) for s in new]
+            pieces = [_PIECES.findall(s) for s in new]
             flat = [p.encode("utf-8", "replace") for p in chain.from_iterable(pieces)]
             whole = np.cumsum(np.append(0, self.lengths(flat)))
             ends = np.cumsum([0, *map(len, pieces)])

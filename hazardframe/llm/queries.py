@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import bpe, counts, decontaminate, quality, simhash
-from hazardframe.llm.common import load
+from hazardframe.llm import binary, bpe, counts, decontaminate, quality, simhash, warc
+from hazardframe.llm.common import keep, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,12 +41,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_warc_round_trip")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.write(load(spark, sf_dir, "pages")))
+    small = keep(records.select("page_id", F.octet_length("payload").cast("long").alias("bytes"),
+                                "payload_digest", "record_type", "refers_to"), "records")
+    # A revisit has no payload of its own: its size is read from the response it refers to.
+    full = small.filter("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
+    sizes = keep(full.agg(F.max("bytes").alias("full")), "sizes")
+    return small.join(sizes, ["refers_to", "payload_digest"], "left").select(
+        "page_id", F.coalesce("bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 @query("op6_quality_ratio")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
 
 
+@query("op9_token_files")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = binary.write(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return binary.read_documents(spark, manifest)
+
+
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
