@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import binary, bpe, counts, decontaminate, quality, simhash, warc
+from hazardframe.llm import binary, bpe, counts, decontaminate, html, licenses, quality, simhash, urls, warc
 from hazardframe.llm.common import keep, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op3_main_text")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return html.extract(pages, html.learn(pages))
+
+
 @query("op4_simhash")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
@@ -59,6 +65,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, load(spark, sf_dir, "labels")))
 
 
+@query("op7_license_spans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(load(spark, sf_dir, "documents"))
+
+
+@query("op8_url_verdicts", urls.oracle())
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = load(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.edges(pages))
+
+
 @query("op9_token_files")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = binary.write(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
