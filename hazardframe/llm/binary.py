@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hazardframe.llm.common import arrow_map, keep, only, shared_path
-from hazardframe.llm.counts import stretches
+from hazardframe.llm.counts import even
 
 #: Ids of a sequence, sequences of a record batch.
 LENGTH, ROWS = 2048, 256
@@ -48,22 +48,33 @@ class Library:
         self.inner.no_padding()
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.inner.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        # Words with the space before them, and which tokens begin with a space.
         self.seen: dict[str, bytes] = {}
+        spaced = [self.inner.id_to_token(i) or "" for i in range(self.inner.get_vocab_size(with_added_tokens=True))]
+        self.begins = np.array([t.startswith("Ġ") for t in spaced])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.inner.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.type).tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words as one text with a space before each; a space begins each word's ids."""
+        (data,) = self._whole([" " + " ".join(words)])
+        starts = (np.flatnonzero(self.begins[np.frombuffer(data, self.type)]) * self.type.itemsize).tolist()
+        ends = [*starts[1:], len(data)]
+        self.seen.update(zip(words, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of `type`."""
-        cut = [None if any(s in t for s in self.special) else stretches(t) for t in texts]
+        plain = [even(t) and not any(s in t for s in self.special) for t in texts]
+        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
         seen = self.seen
-        new = list({s for c in cut if c is not None for s in c if s not in seen})
+        new = list({w for c in cut for w in c[1:] if w not in seen})
         for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            seen.update(zip(part, self._whole(part), strict=True))
-        odd = iter(self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        out = [next(odd) if c is None else b"".join([seen[s] for s in c]) for c in cut]
+            self._learn(new[at : at + 10_000])
+        # Uneven texts go to the library whole, of the others the first word, which has no space.
+        rest = iter(self._whole([c[0] if p else t for t, c, p in zip(texts, cut, plain, strict=True)]))
+        out = [next(rest) + b"".join([seen[w] for w in c[1:]]) for c in cut]
         if len(seen) > REMEMBERED:
             seen.clear()
         return out

@@ -34,13 +34,26 @@ _NONE = np.int64(1) << 40
 _PIECES = regex.compile(PATTERN)
 
 
+#: White space other than the space and the line feed.
+_RARE_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def even(text: str) -> bool:
+    """Whether every space of a text stands alone between two words."""
+    if not text or text[0].isspace() or text[-1].isspace():
+        return not text
+    if "  " in text or " \n" in text or "\n " in text:
+        return False
+    return not (_RARE_SPACE.search(text) and _UNEVEN.search(text))
+
+
 def stretches(text: str) -> list[str]:
     """Stretches of a text without special tokens that are cut alike whatever stands around them:
     words with the space before them or, where white space is uneven, the pre-tokens."""
-    if _UNEVEN.search(text):
-        return _PIECES.findall(text)
     if not text:
         return []
+    if not even(text):
+        return _PIECES.findall(text)
     head, *rest = text.split(" ")
     return [head, *[" " + r for r in rest]]
 
