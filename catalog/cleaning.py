@@ -1,5 +1,7 @@
 """Cleaning and imputation steps, one by one and as a whole."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.relations import on_clean, on_repaired, raw, repaired
@@ -7,7 +9,8 @@ from hazardframe.functions.scalar import severity_position
 from hazardframe.operators import clean as C
 from hazardframe.operators import impute as I
 from hazardframe.operators import reports as R
-from hazardframe.sources.tables import least_repair
+from hazardframe.session import shared_dir
+from hazardframe.sources.tables import least_repair, read_table, save_table
 from hazardframe.sources.testbed import TIE_KEY
 
 
@@ -33,7 +36,28 @@ def severity_label_order(spark, sf_dir):
     return counts.select("gravite", severity_position("gravite").alias("position"), "nb").orderBy("position")
 
 
+WRITTEN = "accident_id date_accident heure region nombre_victimes cout_estime port_casque"
+
+
+def csv_round_trip(spark, sf_dir):
+    """Written as CSV with columns in another order, found again by name and type."""
+    df = raw(spark, sf_dir, WRITTEN)
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}.csv"
+    save_table(df.select(*reversed(df.columns)), path, fmt="csv")
+    return read_table(spark, path, df.schema)
+
+
+def parquet_round_trip(spark, sf_dir):
+    """Written as Parquet by region, read again with narrowed types."""
+    df = raw(spark, sf_dir, "accident_id heure semestre nombre_vehicules nombre_deces limitation_vitesse region")
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}.parquet"
+    save_table(C.narrow_types(df), path, partition_by=("region",))
+    return read_table(spark, path).select(*df.columns)
+
+
 QUERIES = {
+    "csv_round_trip": csv_round_trip,
+    "parquet_round_trip": parquet_round_trip,
     "trim_text": _on_raw(C.trim_strings, "accident_id port_casque port_ceinture"),
     "coerce_dates": coerce_dates,
     "wrap_hours": _on_raw(C.wrap_hours, "accident_id heure"),

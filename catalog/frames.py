@@ -103,6 +103,6 @@ QUERIES = {
     "quick_stats": on_repaired(
         H.quick_stats, "gravite vitesse_estimee cout_estime intervention_secours"
     ),
-    "rate_bands": on_repaired(H.rate_bands, "axe_routier nombre_deces", key="axe_routier"),
+    "rate_bands": on_repaired(H.rate_bands, "axe_routier nombre_deces", key="axe_routier", cuts=(0, 50, 65, 80, 100)),
     "event_hour_weekday": event_hour_weekday,
 }

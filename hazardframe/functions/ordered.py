@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardframe.functions.joins import attach
 from hazardframe.functions.scalar import col
@@ -27,10 +28,12 @@ def log_bucket(value: Column, resolution: int = RESOLUTION) -> Column:
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str, name: str = "value") -> DataFrame:
-    """Non-null values with their number of rows, per key."""
+    """Known values with their number of rows, per key; NULL and NaN are unknown."""
+    values = df.select(*keys, col(value).alias(name))
+    if isinstance(values.schema[name].dataType, T.DoubleType | T.FloatType):
+        values = values.where(~F.isnan(name))
     return (
-        df.select(*keys, col(value).alias(name))
-        .where(F.col(name).isNotNull())
+        values.where(F.col(name).isNotNull())
         .groupBy(*keys, name)
         .agg(F.count(F.lit(1)).alias("n"))
     )

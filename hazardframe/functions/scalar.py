@@ -60,14 +60,15 @@ def right_closed_bin(c: Column | str, edges: Sequence[float], labels: Sequence[s
 
 
 def band(c: Column | str, cuts: Sequence[float], labels: Sequence[str] | None = None) -> Column:
-    """Band of a rate between rising cut points, left-closed; the last band is closed on both ends.
+    """Band of a rate between rising cut points, left-closed; the last band is open.
 
-    Values beyond the last cut stay in the last band, as a gauge needle would.
+    Values from the last cut on are in a band of their own, named ``30+`` for a last cut of 30;
+    ``labels`` has one name for each cut. Values below the first cut are in the first band.
     """
-    names = list(labels) if labels else [f"{a:g}-{b:g}" for a, b in zip(cuts, cuts[1:])]
+    names = list(labels) if labels else [*(f"{a:g}-{b:g}" for a, b in zip(cuts, cuts[1:])), f"{cuts[-1]:g}+"]
     value = col(c)
     out = F.when(value.isNull(), F.lit(None).cast("string"))
-    for high, name in zip(cuts[1:-1], names):
+    for high, name in zip(cuts[1:], names):
         out = out.when(value < high, F.lit(name))
     return out.otherwise(F.lit(names[-1]))
 

@@ -100,15 +100,15 @@ def encode_severity(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
     )
 
 
-def narrow_types(df: DataFrame) -> DataFrame:
-    """Longs and ints to the smallest declared width that the schema fixes for them."""
+def narrow_types(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
+    """Longs and ints of known range to the smallest width that holds it."""
     narrow = {
-        "heure": "tinyint",
-        "semestre": "tinyint",
-        "nombre_vehicules": "smallint",
-        "nombre_deces": "smallint",
-        "limitation_vitesse": "smallint",
-        "gravite_num": "tinyint",
+        r.hour: "tinyint",
+        r.semester: "tinyint",
+        r.vehicles: "smallint",
+        r.deaths: "smallint",
+        r.limit: "smallint",
+        r.severity_rank: "tinyint",
     }
     return df.withColumns({c: F.col(c).cast(t) for c, t in narrow.items() if c in df.columns})
 

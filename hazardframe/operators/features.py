@@ -135,7 +135,7 @@ def environment_features(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
 
 
 def interaction_features(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
-    """Products of earlier features. ``urgence_intervention`` leaks the target; see ``drop_leaks``."""
+    """Products of earlier features. ``urgence_intervention`` leaks the target; see ``build_features(leak_free=True)``."""
     severe = flag(F.col(r.severity).isin(SERIOUS, FATAL))
     return df.withColumns(
         {

@@ -36,7 +36,6 @@ from hazardframe.operators.split import add_class_weight, row_hash, stratified_f
 from hazardframe.roles import INCIDENT, SEVERITIES, Roles
 
 LABEL = INCIDENT.severity_rank
-MAX_CATEGORIES = 1000
 
 # --------------------------------------------------------------------------
 # Published model settings and search ranges.
@@ -89,17 +88,13 @@ def check_ready(df: DataFrame, features: Sequence[str], label: str = LABEL) -> N
 
 
 def category_labels(df: DataFrame, columns: Sequence[str]) -> dict[str, list[str]]:
-    """Sorted distinct values of category columns; refuses columns that are no categories."""
-    if not columns:
-        return {}
-    pairs = df.select(*columns).unpivot([], list(columns), "column", "value").distinct()
-    rows = pairs.where(F.col("value").isNotNull()).limit(MAX_CATEGORIES * len(columns) + 1).collect()
+    """Sorted distinct values of category columns, as many as there are; the driver holds them,
+    as it holds the encoder and the names of its features."""
     labels: dict[str, list[str]] = {c: [] for c in columns}
-    for row in rows:
-        labels[row["column"]].append(row["value"])
-    large = [c for c, values in labels.items() if len(values) > MAX_CATEGORIES]
-    if large or len(rows) > MAX_CATEGORIES * len(columns):
-        raise ValueError(f"too many distinct values for one-hot encoding: {large or list(columns)}")
+    if columns:
+        pairs = df.select(*columns).unpivot([], list(columns), "column", "value").distinct()
+        for row in pairs.where(F.col("value").isNotNull()).collect():
+            labels[row["column"]].append(row["value"])
     return {c: sorted(values) for c, values in labels.items()}
 
 

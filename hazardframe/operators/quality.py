@@ -27,11 +27,6 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     return cells.unpivot([], list(columns), "column", "value")
 
 
-def _as_rows(one_row: DataFrame, names: Sequence[str], out: str) -> DataFrame:
-    """A one-row frame with a column per name as rows (column, out)."""
-    return one_row.unpivot([], list(names), "column", out)
-
-
 def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Rows beyond the first of each set of equal rows (or equal keys)."""
     groups = df.groupBy(*(keys or df.columns)).agg((n_rows() - 1).alias("_extra"))

@@ -44,7 +44,7 @@ def run_cleaning(
 
     Reading back cuts the lineage: later jobs scan the clean table and nothing before it.
     """
-    clean = narrow_types(clean_incidents(raw, tie, r, **options))
+    clean = narrow_types(clean_incidents(raw, tie, r, **options), r)
     if path is None:
         return clean
     save_table(clean, path)

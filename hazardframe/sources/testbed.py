@@ -115,20 +115,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def _spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table of fewer splits than cores over all cores; a large one is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
-def _fits_broadcast(spark: SparkSession, sf_dir: str, name: str) -> bool:
-    """Whether the files of a table are within Spark's own broadcast limit."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return files.getContentSummary(path).getLength() <= limit
-
-
 def incidents(
     spark: SparkSession,
     sf_dir: str,
@@ -138,7 +124,7 @@ def incidents(
     """Raw incidents with the asked columns (all 29 by default), plus the tie key if wanted."""
     wanted = list(columns) if columns is not None else list(RAW_COLUMNS)
     need = set().union(*(_NEEDS.get(c, set()) for c in wanted))
-    df = _spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    df = table(spark, sf_dir, "lineitem")
     if "orders" in need:
         # The dimensions of an order, from order to region.
         chain = [
@@ -148,16 +134,11 @@ def incidents(
             ("region", "n_regionkey", "r_regionkey"),
         ]
         chain = [step for step in chain if step[0] in need]
-        if _fits_broadcast(spark, sf_dir, "orders"):
-            # All are small: the lines stream past one broadcast table after the other.
-            for name, left, right in chain:
-                df = df.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
-        else:
-            # Resolve the orders first, so that the lines are shuffled once, by order.
-            orders = table(spark, sf_dir, "orders")
-            for name, left, right in chain[1:]:
-                orders = orders.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
-            df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        # Resolve the orders first, so that the lines meet one table.
+        orders = table(spark, sf_dir, "orders")
+        for name, left, right in chain[1:]:
+            orders = orders.join(table(spark, sf_dir, name), F.col(left) == F.col(right))
+        df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "supplier" in need:
         supplier = table(spark, sf_dir, "supplier")
         df = df.join(supplier, df.l_suppkey == supplier.s_suppkey)

@@ -52,6 +52,14 @@ def on_clean(body: str, *ctes: str) -> str:
 _CAPITAL = "upper({c}[1]) || lower({c}[2:])"
 
 ORACLES = {
+    "csv_round_trip": on_raw(
+        "SELECT accident_id, date_accident, heure, region, nombre_victimes, cout_estime, port_casque FROM raw"
+    ),
+    "parquet_round_trip": on_raw(
+        "SELECT accident_id, CAST(heure AS TINYINT) AS heure, CAST(semestre AS TINYINT) AS semestre, "
+        "CAST(nombre_vehicules AS SMALLINT) AS nombre_vehicules, CAST(nombre_deces AS SMALLINT) AS nombre_deces, "
+        "CAST(limitation_vitesse AS SMALLINT) AS limitation_vitesse, region FROM raw"
+    ),
     "trim_text": on_raw(
         "SELECT accident_id, trim(port_casque) AS port_casque, trim(port_ceinture) AS port_ceinture FROM raw"
     ),

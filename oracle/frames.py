@@ -188,7 +188,7 @@ SELECT *, 'Casque:' || port_casque || ' / Ceinture:' || port_ceinture AS label,
         + f"\nUNION ALL SELECT 'intervention_moyenne', {rnd('avg(intervention_secours)', 0)}, NULL FROM rep"
     ),
     "rate_bands": on_repaired(
-        f"SELECT *, CASE WHEN taux < 10 THEN '0-10' WHEN taux < 20 THEN '10-20' ELSE '20-30' END AS band FROM "
+        f"SELECT *, CASE WHEN taux < 50 THEN '0-50' WHEN taux < 65 THEN '50-65' WHEN taux < 80 THEN '65-80' WHEN taux < 100 THEN '80-100' ELSE '100+' END AS band FROM "
         f"(SELECT axe_routier, count(*) AS n, CAST(sum(nombre_deces) AS BIGINT) AS deces, {_pct('sum(nombre_deces)')} AS taux FROM rep GROUP BY axe_routier)"
     ),
     "event_hour_weekday": (

@@ -1,5 +1,6 @@
 """DuckDB oracles of the profiles and data quality reports."""
 
+from hazardframe.roles import ALLOWED_VALUES
 from oracle.binding import on_raw, on_repaired, rnd
 from oracle.cleaning import on_clean
 
@@ -54,23 +55,7 @@ ANOMALIES = "\nUNION ALL ".join(
 
 CATEGORIES = ["meteo", "gravite", "cause", "type_route"]
 
-ALLOWED = {
-    "gravite": ["Léger", "Grave", "Mortel"],
-    "periode_journaliere": ["Matin", "Après-midi", "Soir", "Nuit"],
-    "meteo": ["Soleil", "Nuageux", "Pluie", "Brouillard"],
-    "luminosite": ["Jour", "Nuit", "Crépuscule"],
-    "type_route": ["Urbaine", "Interurbaine", "Rurale"],
-    "etat_route": ["Bon", "Dégradé", "Très dégradé"],
-    "port_casque": ["Oui", "Non"],
-    "port_ceinture": ["Oui", "Non"],
-    "accident_fete": ["Oui", "Non"],
-    "type_accident": ["Collision frontale", "Collision arrière", "Collision latérale", "Collision piéton",
-                      "Sortie de route", "Renversement"],
-    "cause": ["Alcool", "Téléphone", "Fatigue", "Excès de vitesse", "Dépassement dangereux",
-              "Priorité non respectée", "Freinage brusque"],
-    "type_vehicule": ["Moto", "Voiture", "Camion", "Bus", "Tricycle", "Vélo"],
-    "region": ["Maritime", "Plateaux", "Centrale", "Kara", "Savanes"],
-}
+ALLOWED = ALLOWED_VALUES
 
 
 def _unexpected(table):

@@ -23,7 +23,7 @@ def test_speed_zone_bins_close_on_the_right(spark):
 def test_bands(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate([0.0, 9.9, 10.0, 29.0, 30.0, 45.0, None])], "id int, v double")
     got = [r[0] for r in df.orderBy("id").select(band("v", [0, 10, 20, 30])).collect()]
-    assert got == ["0-10", "0-10", "10-20", "20-30", "20-30", "20-30", None]
+    assert got == ["0-10", "0-10", "10-20", "20-30", "30+", "30+", None]
 
 
 def test_weighted_mean_ignores_unknown(spark):

@@ -87,3 +87,19 @@ def test_clean_table_is_written_narrow(spark, sf_dir, tmp_path):
     types = dict(clean.dtypes)
     assert (types["heure"], types["gravite_num"], types["limitation_vitesse"]) == ("tinyint", "tinyint", "smallint")
     assert clean.count() > 0
+
+
+def test_raw_csv_is_read_by_name(spark, tmp_path):
+    path = tmp_path / "swapped.csv"
+    path.write_text(
+        "ville,region,heure,date_accident,vitesse_estimee,accident_id,more\n"
+        "Kara,Kpagouda,3.0,2024-01-02,NaN,1,x\nNA,,4.5,2024-01-03,50.5,2,x\n"
+    )
+    one, two = S.read_raw(spark, str(path)).orderBy("accident_id").collect()
+    assert (one.ville, one.region, one.heure, one.vitesse_estimee) == ("Kara", "Kpagouda", 3, None)
+    assert (two.ville, two.region, two.heure, two.vitesse_estimee, two.cause) == (None, None, None, 50.5, None)
+
+
+def test_inferred_csv_has_numbers(spark, tmp_path):
+    S.save_table(spark.createDataFrame([(1, 2.5, "x")], "a int, b double, c string"), str(tmp_path / "t.csv"), fmt="csv")
+    assert [t for _, t in S.read_table(spark, str(tmp_path / "t.csv")).dtypes] == ["int", "double", "string"]
