@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hazardframe.llm.common import keep
+
 K = 3
 #: Words by which neighbouring diagonals may differ; least part of a template; least density.
 SLACK, COVERED, DENSE = 4, 0.6, 0.5
@@ -84,6 +86,7 @@ def spans(
     hits = grams(own, ["d", "x"]).join(F.broadcast(known), "hash")  # fixed lists
     votes = hits.groupBy("d", "x", "template", "label", "phrase", "n_grams", (F.col("place") - F.col("at")).alias("diagonal")).agg(
         F.collect_set("at").alias("at"))  # bounded by the template
+    votes = keep(votes, "votes")  # read twice below, the texts once
     whole = votes.filter("phrase and size(at) = n_grams").select(
         "d", "x", "label", "phrase", F.col("diagonal").alias("first"), (F.col("diagonal") + F.col("n_grams") + K - 2).alias("last"),
         F.lit(1.0).alias("covered"))
