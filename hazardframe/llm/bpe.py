@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from hazardframe.llm.common import arrow_map, only
 
 #: Distinct words a worker remembers before it starts afresh; bounds its memory.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 _NONE = 1 << 62
 #: White space for Python's split that the vocabulary's pattern takes as marks.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
@@ -88,6 +88,18 @@ def merge(symbols: list[int], rank_of: Callable[[int, int], int | None], made: l
     return [s for s in symbols if s >= 0]
 
 
+class _Words(dict):
+    """Words with their ids, made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.make(word)
+        return ids
+
+
 class WordBpe:
     """Encoder and decoder of a lower-casing vocabulary with word ends, from its JSON file."""
 
@@ -117,7 +129,7 @@ class WordBpe:
         self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}"))
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self._word)
 
     def _rank(self, a: int, b: int) -> int | None:
         return self.ranks.get((a << 20) | b)
@@ -147,13 +159,7 @@ class WordBpe:
     def _plain(self, text: str) -> bytes:
         split = _SPACE.split(text) if _SEPARATORS.search(text) else text.split()
         words = self.words
-        try:
-            return b"".join([words[w] for w in split])
-        except KeyError:
-            for w in split:
-                if w not in words:
-                    words[w] = self._word(w)
-            out = b"".join([words[w] for w in split])
+        out = b"".join([words[w] for w in split])
         if len(words) > REMEMBERED:
             words.clear()
         return out
