@@ -12,7 +12,6 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_map, keep, only, shared_path
+from hazardframe.llm.common import arrow_map, hold, keep, only, shared_path
 from hazardframe.llm.counts import even
 
 #: Ids of a sequence, sequences of a record batch.
@@ -80,9 +79,8 @@ class Library:
         return out
 
 
-@lru_cache(maxsize=2)
 def library(path: str) -> Library:
-    return Library(path)
+    return hold(Library, path)
 
 
 def file_schema(length: int, ids: pa.DataType, key: pa.DataType) -> pa.Schema:
@@ -183,7 +181,7 @@ def write(
             yield pa.RecordBatch.from_pydict(
                 {"shard": [shard], "path": [name], "n_docs": [packer.n_docs], "n_tokens": [packer.n_tokens]})
 
-    manifest = keep(arrow_map(ranged, of, "shard long, path string, n_docs long, n_tokens long"), "manifest")
+    manifest = keep(arrow_map(ranged, of, "shard long, path string, n_docs long, n_tokens long", holding=True), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return keep(manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))), "manifest")
 

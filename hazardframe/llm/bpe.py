@@ -15,14 +15,13 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from hazardframe.llm.common import arrow_map, only
+from hazardframe.llm.common import arrow_map, hold, only
 
 #: Distinct words a worker remembers before it starts afresh; bounds its memory.
 REMEMBERED = 800_000
@@ -170,9 +169,8 @@ class WordBpe:
         return " ".join([tokens[i] for i in np.frombuffer(ids, "<u4").tolist()])
 
 
-@lru_cache(maxsize=2)
 def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+    return hold(WordBpe, path)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", decoded: bool = True) -> DataFrame:
@@ -197,7 +195,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"][: len(columns)])
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(only(docs, key, text), of, f"`{key}` {kind}, ids array<int>" + ", decoded string" * decoded)
+    return arrow_map(only(docs, key, text), of, f"`{key}` {kind}, ids array<int>" + ", decoded string" * decoded, holding=True)
 
 
 def _digest(bpe: WordBpe, ids: bytes) -> tuple[int, str, str]:
@@ -220,4 +218,4 @@ def digests(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id")
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return arrow_map(only(docs, key, text), of, schema)
+    return arrow_map(only(docs, key, text), of, schema, holding=True)

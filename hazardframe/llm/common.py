@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -56,12 +57,38 @@ def ship(spark: SparkSession) -> None:
     sc._hazardframe_shipped = True
 
 
+#: What one operator remembers in this worker from task to task.
+_held: dict[tuple[type, str], object] = {}
+
+
+def hold(make: type, path: str):
+    """`make(path)`, made once and kept by this worker until another operator runs in it."""
+    if (make, path) not in _held:
+        let_go()
+        _held[make, path] = make(path)
+    return _held[make, path]
+
+
+def let_go() -> None:
+    """Free what earlier operators remember, so that a worker's memory is that of one of them."""
+    if _held:
+        _held.clear()
+        gc.collect()  # words and their maker refer to each other
+    pa.default_memory_pool().release_unused()
+
+
 def arrow_map(
-    df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema
+    df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, holding: bool = False
 ) -> DataFrame:
-    """mapInArrow with this package at hand on the executors."""
+    """mapInArrow with this package at hand on the executors; `holding` says that `f` calls `hold`."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not holding:
+            let_go()
+        yield from f(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def slices(values: list, most_chars: int = 16_000_000) -> Iterator[list]:

@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from hazardframe.llm.bpe import byte_letters
-from hazardframe.llm.common import arrow_map, only, slices
+from hazardframe.llm.common import arrow_map, hold, only, slices
 
 #: Distinct stretches of text a worker remembers before it starts afresh; bounds its memory.
 REMEMBERED = 600_000
@@ -129,9 +128,8 @@ class ByteBpe:
         return found
 
 
-@lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return hold(ByteBpe, path)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -154,4 +152,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, text: str = "text
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean"
-    return arrow_map(only(docs, key, text), of, schema)
+    return arrow_map(only(docs, key, text), of, schema, holding=True)

@@ -127,7 +127,7 @@ def _buckets(numbers: np.ndarray, ends: np.ndarray, hashes: np.ndarray, bits: in
 
 def _measured(texts: list[str | None], bits: int, state: dict) -> Iterator[tuple[Measures, np.ndarray]]:
     """Measures and n-gram buckets of each text, in order."""
-    for run in slices([t or "" for t in texts]):
+    for run in slices([t or "" for t in texts], 4_000_000):
         words = state.setdefault("words", Words())
         found = [measure(t, words) for t in run]
         ends, hashes = np.array(words.ends), np.array(words.hashes, np.uint64)

@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import weakref
 
 import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from hazardframe.llm import bpe, counts, queries
+from hazardframe.llm import bpe, common, counts, queries
 
 DATA = "/root/testdata/sf0.001"
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -84,3 +85,15 @@ def test_frames_with_odd_rows(spark):
     n = counts.token_counts(df, BYTES, limit=1).collect()
     assert sorted((r.n_bytes, r.n_tokens, r.over_limit) for r in n) == [(0, 0, False)] * 2 + [(9, 2, True)] * 3
     assert bpe.digests(df.limit(0), WORDS).count() == 0 == counts.token_counts(df.limit(0), BYTES).count()
+
+
+def test_a_worker_holds_one_operators_words():
+    words = bpe.word_bpe(WORDS)
+    words.encode("some words to remember")
+    gone = weakref.ref(words)
+    del words
+    assert bpe.word_bpe(WORDS) is gone()
+    counts.byte_bpe(BYTES)
+    assert gone() is None
+    common.let_go()
+    assert not common._held
