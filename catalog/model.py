@@ -52,6 +52,17 @@ def fold_counts(spark, sf_dir):
     return folded.groupBy("gravite_num", "fold").agg(n_rows().alias("n"))
 
 
+def _members(assign, out):
+    """A query: the part or fold of every row, by the row hash of its id."""
+
+    def run(spark, sf_dir):
+        df = repaired(spark, sf_dir, "accident_id gravite")
+        df = df.withColumn("gravite_num", mapped("gravite", SEVERITY_ORDER))
+        return assign(df, "gravite_num", KEY).select("accident_id", "gravite_num", out)
+
+    return run
+
+
 def _weights(spark, sf_dir):
     df = repaired(spark, sf_dir, "gravite").withColumn("gravite_num", mapped("gravite", SEVERITY_ORDER))
     return class_weights(df).withColumn("weight", F.round("weight", 9))
@@ -120,6 +131,8 @@ def learning_curve(spark, sf_dir):
 QUERIES = {
     "split_counts": split_counts,
     "fold_counts": fold_counts,
+    "split_members": _members(stratified_split, "part"),
+    "fold_members": _members(stratified_folds, "fold"),
     "class_weights": _weights,
     "feature_columns": feature_columns,
     "logistic_scores": _scored(lambda train: L.logistic(train.count(), **LIGHT["logistic"])),

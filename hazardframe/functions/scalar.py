@@ -110,3 +110,13 @@ def weighted_mean(value: str, weight: str) -> Column:
         F.sum(F.col(value) * F.col(weight)),
         F.sum(F.when(F.col(value).isNotNull(), F.col(weight))),
     )
+
+
+# Row hashes are whole numbers below this.
+HASH_SIZE = 2**52
+
+
+def row_hash(keys: Sequence[str], seed: int) -> Column:
+    """A uniform hash of the seed and the keys' texts that any SQL engine with md5 can repeat."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazardframe.functions.scalar import HASH_SIZE, row_hash
 from hazardframe.operators import metrics as M
 from hazardframe.operators.quality import numeric_columns
-from hazardframe.operators.split import add_class_weight, row_hash, stratified_folds
+from hazardframe.operators.split import add_class_weight, stratified_folds
 from hazardframe.roles import INCIDENT, SEVERITIES, Roles
 
 LABEL = INCIDENT.severity_rank
@@ -317,7 +318,7 @@ def learning_curve(
         for size in sizes:
             seen, held = [], []
             for i in range(folds):
-                inside = row_hash(keys, SEED + 1) < F.lit(int(size * 2**52))
+                inside = row_hash(keys, SEED + 1) < F.lit(int(size * HASH_SIZE))
                 part = folded.where((F.col("fold") != i) & inside)
                 model, _ = fit(part, classifier, leak_free)
                 for rows, into in ((part, seen), (folded.where(F.col("fold") == i), held)):

@@ -13,23 +13,18 @@ from pyspark.sql import functions as F
 
 from hazardframe.functions.joins import lookup, materialise
 from hazardframe.functions.ordered import order_statistics, value_counts
-from hazardframe.functions.scalar import flag, n_rows
+from hazardframe.functions.scalar import HASH_SIZE, flag, n_rows, row_hash
 from hazardframe.roles import INCIDENT
 
-_HASH_SIZE = 2**52
 _HASH_BUCKETS = 65_536
 
 
-def row_hash(keys: Sequence[str], seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(_HASH_SIZE))
-
-
 def _cuts(
     df: DataFrame, label: str, keys: Sequence[str], seed: int, ranks: Mapping[str, Callable[[Column], Column]]
 ) -> DataFrame:
     """Per class, the hash values at the given ranks of the class's rows."""
     counts = value_counts(df, [label], row_hash(keys, seed))
-    bucket = F.floor(F.col("value") / F.lit(_HASH_SIZE // _HASH_BUCKETS))
+    bucket = F.floor(F.col("value") / F.lit(HASH_SIZE // _HASH_BUCKETS))
     return materialise(order_statistics(counts, [label], ranks, bucket=bucket).select(label, *ranks))
 
 

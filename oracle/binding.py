@@ -81,3 +81,13 @@ def rnd(expr: str, digits: int) -> str:
     """Round half up on the decimal value, the rule Spark's round() follows for doubles."""
     scale = 18 if digits >= 6 else 12
     return f"CAST(round(CAST(({expr}) AS DECIMAL(38,{scale})), {digits}) AS DOUBLE)"
+
+
+def row_hash(key: str, seed: int = 42) -> str:
+    """The first 52 bits of the md5 of seed and key."""
+    return f"('0x' || md5('{seed}|' || {key})[1:13])::BIGINT"
+
+
+def sample(n: int, columns: str) -> str:
+    """The ``n`` rows of least row hash."""
+    return on_repaired(f"SELECT {columns} FROM rep ORDER BY {row_hash('accident_id')}, accident_id LIMIT {n}")

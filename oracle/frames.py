@@ -1,6 +1,6 @@
 """DuckDB oracles of the chart frames."""
 
-from oracle.binding import on_repaired, rnd
+from oracle.binding import on_repaired, rnd, sample
 
 DAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
 CLASSES = ["Léger", "Grave", "Mortel"]
@@ -74,6 +74,9 @@ def _tree(levels):
 
 
 ORACLES = {
+    "scatter_sample": sample(
+        3000, "accident_id, latitude, longitude, gravite, heure, vitesse_estimee, intervention_secours, type_route"
+    ),
     "severity_distribution": on_repaired(
         "SELECT c AS gravite, count(gravite) AS n, " + _pct("count(gravite)", "(SELECT count(*) FROM rep)")
         + " AS pct FROM (SELECT unnest(['Léger', 'Grave', 'Mortel']) AS c) LEFT JOIN rep ON gravite = c GROUP BY c"

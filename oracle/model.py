@@ -1,11 +1,48 @@
 """DuckDB oracles of split sizes and class weights."""
 
-from oracle.binding import on_repaired, rnd
+from oracle.binding import on_repaired, rnd, row_hash
 
 LABELLED = "lab AS (SELECT CAST(list_position(['Léger', 'Grave', 'Mortel'], gravite) - 1 AS INTEGER) AS gravite_num FROM raw)"
 SIZES = "siz AS (SELECT gravite_num, count(*) AS c FROM lab GROUP BY gravite_num)"
 
+HASHED = f"""hashed AS (SELECT accident_id, CAST(list_position(['Léger', 'Grave', 'Mortel'], gravite) - 1 AS INTEGER) AS gravite_num,
+  {row_hash('accident_id')} AS h FROM rep)"""
+RANKED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY gravite_num ORDER BY h) AS rn,
+  count(*) OVER (PARTITION BY gravite_num) AS c FROM hashed)"""
+
+
+def _beyond(rank):
+    """Whether a row's hash lies above the one at a rank of its class."""
+    return f"coalesce(h > max(CASE WHEN rn = {rank} THEN h END) OVER (PARTITION BY gravite_num), true)"
+
+
+ALL = "count(*)"
+KNOWN = {
+    "heure": "numeric", "limitation_vitesse": "numeric", "nombre_vehicules": "numeric", "nombre_victimes": "numeric",
+    "vitesse_estimee": "numeric", "cause": "category", "periode_journaliere": "category", "type_accident": "category",
+    "port_casque": "category", "accident_fete": "category",
+}
+FILLED = {"vitesse_estimee", "cause", "nombre_victimes"}
+
 ORACLES = {
+    "split_members": on_repaired(
+        f"SELECT accident_id, gravite_num, CASE WHEN {_beyond('CAST(round(c * 0.2::DOUBLE) AS BIGINT)')} THEN 'train' ELSE 'test' END AS part FROM ranked",
+        HASHED,
+        RANKED,
+    ),
+    "fold_members": on_repaired(
+        "SELECT accident_id, gravite_num, "
+        + " + ".join(f"CAST({_beyond(f'c * {j} // 5')} AS INTEGER)" for j in range(1, 5))
+        + " AS fold FROM ranked",
+        HASHED,
+        RANKED,
+    ),
+    "feature_columns": on_repaired(
+        " UNION ALL ".join(
+            f"SELECT '{c}' AS feature, '{kind}' AS kind, {ALL if c in FILLED else f'count({c})'} AS known FROM rep"
+            for c, kind in KNOWN.items()
+        )
+    ),
     "split_counts": on_repaired(
         "SELECT gravite_num, 'test' AS part, CAST(round(c * 0.2::DOUBLE) AS BIGINT) AS n FROM siz UNION ALL "
         "SELECT gravite_num, 'train', c - CAST(round(c * 0.2::DOUBLE) AS BIGINT) FROM siz",

@@ -2,7 +2,7 @@
 
 from statistics import NormalDist
 
-from oracle.binding import on_repaired, rnd
+from oracle.binding import on_repaired, rnd, sample
 
 Z = NormalDist().inv_cdf(0.975)
 ASSOCIATED = ["region", "type_route", "meteo", "luminosite", "type_vehicule", "cause", "etat_route",
@@ -143,6 +143,7 @@ FROM c ORDER BY 1 LIMIT 20"""
   {rnd('avg(latitude)', 4)} AS latitude, {rnd('avg(longitude)', 4)} AS longitude,
   CASE WHEN count(*) > 8000 THEN 80.0::DOUBLE ELSE count(*)::DOUBLE / 100 END AS radius FROM rep GROUP BY region"""
     ),
+    "map_points": sample(6000, "accident_id, latitude, longitude, gravite, ville, cause, type_accident"),
     "density_grid": on_repaired(_cells("rep")),
     "heat_frames": on_repaired(_cells("rep", "periode_journaliere")),
 }
