@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -46,18 +47,31 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Write a large table once, as Parquet in the shared folder, and read it back.
+
+    Later jobs scan only the columns they need, and nothing before it is computed again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def lookup(
     df: DataFrame,
     table: DataFrame,
     keys: Sequence[str],
     columns: Sequence[str],
     right_keys: Sequence[str] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """Left join of rows with a materialised per-group table, whose size is counted first.
+    """Left join of rows with a materialised per-group table, whose size is counted first, or
+    given as ``rows`` by a caller who has counted it.
 
     A small table is broadcast, so the rows are not shuffled and a hot key does no
     harm. A large one is joined by shuffle, where adaptive execution splits hot keys.
     NULL keys match nothing.
     """
-    small = table.count() <= BROADCAST_ROWS
+    small = (table.count() if rows is None else rows) <= BROADCAST_ROWS
     return attach(df, table, keys, columns, null_keys=False, right_keys=right_keys, small=small)

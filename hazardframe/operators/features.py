@@ -28,6 +28,7 @@ ROAD_TYPE_ORDER = {"Urbaine": 0, "Interurbaine": 1, "Rurale": 2}
 SPEED_ZONE_EDGES = [0, 50, 70, 90, 200]
 SPEED_ZONES = ["Zone30-50", "Zone70", "Zone90", "Zone+90"]
 
+PLACE_FEATURES = ["taux_mortalite_region", "taux_mortalite_ville", "nb_accidents_axe", "log_nb_accidents_axe"]
 FEATURE_SETS = {
     "temporal": [
         "heure", "heure_sin", "heure_cos", "mois_sin", "mois_cos", "jour_sin", "jour_cos",
@@ -149,40 +150,68 @@ def interaction_features(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
     )
 
 
-def _slot(column: str) -> Column:
-    """A key that tells apart equal values of different columns; NULL for a NULL value."""
-    return F.concat(F.lit(f"{column}="), F.col(column))
+#: The place that stands for all rows in the table of rates.
+WHOLE = "all rows"
 
 
 def place_rates(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
-    """Fatal share and known-id count of every region, town and road: one pass, one small table.
+    """(place, value, fatal_share, incidents): fatal share and known-id count of every region,
+    town and road, and of all rows (place ``WHOLE``): one pass.
 
     Fit it on the training rows only to keep the target out of the features of the others.
     """
-    slots = df.select(
-        F.explode(F.array(_slot(r.region), _slot(r.town), _slot(r.road))).alias("slot"),
+    places = {c: F.col(c) for c in (r.region, r.town, r.road)} | {WHOLE: F.lit("")}
+    rows = df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("place"), v.alias("value")) for c, v in places.items()])).alias("at"),
         (F.col(r.severity) == FATAL).alias("_fatal"),
         F.col(r.id).isNotNull().alias("_known"),
-    ).where(F.col("slot").isNotNull())
-    return slots.groupBy("slot").agg(
+    ).where(F.col("at.value").isNotNull())
+    return rows.groupBy("at.place", "at.value").agg(
         (F.count_if("_fatal") / F.count(F.lit(1))).alias("fatal_share"),
         F.count_if("_known").alias("incidents"),
     )
 
 
 def place_features(df: DataFrame, rates: DataFrame | None = None, r: Roles = INCIDENT) -> DataFrame:
-    """Fatal share of the region and the town, number of incidents on the road and its log1p."""
-    table = materialise(place_rates(df, r) if rates is None else rates)
-    for column, source, name in (
-        (r.region, "fatal_share", "taux_mortalite_region"),
-        (r.town, "fatal_share", "taux_mortalite_ville"),
-        (r.road, "incidents", "nb_accidents_axe"),
+    """Fatal share of the region and the town, number of incidents on the road and its log1p.
+
+    Without ``rates`` they are those of ``df`` itself. With rates fitted on other rows, a region
+    or town these do not know has the share of all of them, and a road none of them lies on has
+    zero incidents; such rates should be stored, as they are read several times. The tables of
+    the three columns are counted together and joined apart.
+    """
+    table = materialise(place_rates(df, r)) if rates is None else rates
+    sizes = {row["place"]: row["n"] for row in table.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    overall = None
+    if rates is not None:
+        whole = table.where(F.col("place") == WHOLE).first()
+        overall = whole["fatal_share"] if whole else None
+    for column, source, name, unseen in (
+        (r.region, "fatal_share", "taux_mortalite_region", F.lit(overall).cast("double")),
+        (r.town, "fatal_share", "taux_mortalite_ville", F.lit(overall).cast("double")),
+        (r.road, "incidents", "nb_accidents_axe", F.lit(0).cast("long")),
     ):
-        rates_as = table.select("slot", F.col(source).alias(name))
-        df = lookup(df.withColumn("_slot", _slot(column)), rates_as, ["_slot"], [name], ["slot"]).drop("_slot")
+        known = table.where(F.col("place") == column).select("value", F.col(source).alias(name))
+        df = lookup(df, known, [column], [name], ["value"], rows=sizes.get(column, 0))
+        if rates is not None:
+            df = df.withColumn(name, F.coalesce(name, unseen))
     return df.withColumn("log_nb_accidents_axe", F.log1p("nb_accidents_axe"))
 
 
+def refit_places(train: DataFrame, r: Roles = INCIDENT) -> DataFrame | None:
+    """The rates of these rows, stored; None for a table without the place features."""
+    if not {*PLACE_FEATURES, r.region, r.town, r.road, r.severity, r.id} <= set(train.columns):
+        return None
+    return materialise(place_rates(train, r))
+
+
+def with_places(df: DataFrame, rates: DataFrame | None, r: Roles = INCIDENT) -> DataFrame:
+    """A feature table with its place features taken anew from ``rates``; unchanged for None."""
+    if rates is None:
+        return df
+    return place_features(df.drop(*PLACE_FEATURES), rates, r).select(*df.columns)
+
+
 def encode_binary(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
     """Yes/no columns as 1/0, unknown as 0."""
     return df.withColumns({c: flag(F.col(c) == YES) for c in (r.helmet, r.belt, r.holiday) if c in df.columns})
@@ -193,8 +222,9 @@ def build_features(
 ) -> DataFrame:
     """All feature groups in order: 41 columns on top of the clean table.
 
-    With ``leak_free`` the response-urgency feature, which knows the target, is left out;
-    pass ``rates`` fitted on training rows as well.
+    With ``leak_free`` the response-urgency feature, which knows the target, is left out.
+    Place features know the target of all rows of ``clean`` unless ``rates`` fitted on training
+    rows are given; training with ``leak_free`` fits them anew on each training part.
     """
     df = clean.transform(calendar_features, r).transform(behaviour_features, r)
     df = df.transform(environment_features, r).transform(interaction_features, r)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardframe.functions.joins import attach, lookup, materialise
-from hazardframe.functions.ordered import median_cell, modes, quantiles_of_counts, value_counts
+from hazardframe.functions.ordered import median_cell, modes, quantiles, quantiles_of_counts, value_counts
 from hazardframe.roles import GOOD_SURFACE, INCIDENT, NO, UNKNOWN_CAUSE, Roles
 
 
@@ -74,7 +74,8 @@ def fill_all(df: DataFrame, r: Roles = INCIDENT, accuracy: int | None = None) ->
 
     Each row yields one (slot, text, number) triple per statistic; a slot is a column,
     or a column within one group. The counted triples give the mode and the median of
-    every slot: a table of a few rows per group value, computed once and kept.
+    every slot: a table of a few rows per group value, computed once and kept. With
+    ``accuracy`` numbers are not counted; their medians are sketches of that accuracy.
     """
     texts = [r.weather, r.helmet, r.belt]
     numbers = {r.response: F.col(r.response), r.cost: F.when(F.col(r.cost) >= 0, F.col(r.cost))}
@@ -88,16 +89,20 @@ def fill_all(df: DataFrame, r: Roles = INCIDENT, accuracy: int | None = None) ->
         (speed_slot, no_text, F.col(r.speed)),
     ]
     flat = [part for triple in triples for part in triple]
-    counts = (
-        df.select(F.stack(F.lit(len(triples)), *flat).alias("slot", "text", "number"))
-        .where(F.col("slot").isNotNull() & (F.col("text").isNotNull() | F.col("number").isNotNull()))
-        .groupBy("slot", "text", "number")
-        .agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(F.stack(F.lit(len(triples)), *flat).alias("slot", "text", "number")).where(
+        F.col("slot").isNotNull() & (F.col("text").isNotNull() | F.col("number").isNotNull())
     )
+    counted = cells if accuracy is None else cells.withColumn("number", no_number)
+    counts = counted.groupBy("slot", "text", "number").agg(F.count(F.lit(1)).alias("n"))
+    half = {"_median": 0.5}
+    if accuracy is None:
+        medians = quantiles_of_counts(counts, ["slot"], half, "number")
+    else:
+        medians = quantiles(cells, ["slot"], "number", half, accuracy)
     fills = materialise(
         attach(
             modes(counts, ["slot"], "text", "_mode"),
-            quantiles_of_counts(counts, ["slot"], {"_median": 0.5}, "number"),
+            medians,
             ["slot"],
             ["_median"],
         )

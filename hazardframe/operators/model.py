@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Iterable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -16,7 +17,6 @@ from pyspark.ml.classification import (
     OneVsRestModel,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import (
     OneHotEncoder,
     StandardScaler,
@@ -25,13 +25,14 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardframe.functions.scalar import HASH_SIZE, row_hash
 from hazardframe.operators import metrics as M
+from hazardframe.operators.features import refit_places, with_places
 from hazardframe.operators.quality import numeric_columns
 from hazardframe.operators.split import add_class_weight, stratified_folds
 from hazardframe.roles import INCIDENT, SEVERITIES, Roles
@@ -215,6 +216,14 @@ def evaluate(model: PipelineModel, test: DataFrame) -> dict[str, float]:
     return row
 
 
+def apart(folded: DataFrame, fold: int, leak_free: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows outside a fold and those in it; with ``leak_free`` the place features of both
+    are fitted on the rows outside alone."""
+    rest, held = folded.where(F.col("fold") != fold), folded.where(F.col("fold") == fold)
+    rates = refit_places(rest) if leak_free else None
+    return with_places(rest, rates), with_places(held, rates)
+
+
 def cross_validate(
     train: DataFrame, classifier: Estimator, keys: Sequence[str], k: int = 5, leak_free: bool = False
 ) -> list[dict[str, float]]:
@@ -223,9 +232,10 @@ def cross_validate(
     scores = []
     try:
         for i in range(k):
-            model, _ = fit(folded.where(F.col("fold") != i), classifier, leak_free)
-            held = score(model, folded.where(F.col("fold") == i)).select("label", "prediction")
-            scores.append({"fold": i, **M.macro_scores(held).first().asDict()})
+            rest, held = apart(folded, i, leak_free)
+            model, _ = fit(rest, classifier, leak_free)
+            pairs = score(model, held).select("label", "prediction")
+            scores.append({"fold": i, **M.macro_scores(pairs).first().asDict()})
     finally:
         folded.unpersist()
     return scores
@@ -238,19 +248,6 @@ def mean_std(values: Iterable[float]) -> tuple[float, float]:
     return mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
 
 
-class MacroF1(Evaluator):
-    """Plain mean of the per-class F1; Spark's own "f1" is the weighted mean."""
-
-    def _evaluate(self, dataset: DataFrame) -> float:
-        pairs = dataset.select(
-            F.col(LABEL).cast("int").alias("label"), F.col("prediction").cast("int").alias("prediction")
-        )
-        return M.macro_scores(pairs).first()["f1_macro"]
-
-    def isLargerBetter(self) -> bool:
-        return True
-
-
 def draw(space: Mapping[str, tuple], rng: random.Random) -> dict[str, Any]:
     """One random setting from a search space."""
     setting: dict[str, Any] = {}
@@ -275,28 +272,33 @@ def search(
     parallelism: int = 2,
     leak_free: bool = False,
 ) -> list[dict[str, Any]]:
-    """Random search by cross-validated macro F1, best setting first."""
+    """Random search by cross-validated macro F1, best setting first.
+
+    Every fold is prepared once and serves all settings, of which ``parallelism`` are fitted at
+    a time. Nothing is fitted on all rows: that is left to the caller's choice of a setting.
+    """
     rng = random.Random(SEED)
     settings = [draw(space, rng) for _ in range(trials)]
-    plan, _ = pipeline(train, boosted(weighted), leak_free)
-    maps = [{plan.stages: [*plan.getStages()[:-1], boosted(weighted, **s)]} for s in settings]
+    scores: list[list[float]] = [[] for _ in settings]
     folded = stratified_folds(train, LABEL, keys, folds, SEED).persist()
     try:
-        validator = CrossValidator(
-            estimator=plan,
-            estimatorParamMaps=maps,
-            evaluator=MacroF1(),
-            numFolds=folds,
-            foldCol="fold",
-            parallelism=parallelism,
-        )
-        found = validator.fit(folded)
+        for i in range(folds):
+            rest, held = (part.persist() for part in apart(folded, i, leak_free))
+
+            def f1(setting: dict[str, Any], rest: DataFrame = rest, held: DataFrame = held) -> float:
+                model, _ = fit(rest, boosted(weighted, **setting), leak_free)
+                return M.macro_scores(score(model, held).select("label", "prediction")).first()["f1_macro"]
+
+            with ThreadPool(parallelism) as pool:
+                for of_setting, value in zip(scores, pool.map(f1, settings)):
+                    of_setting.append(value)
+            rest.unpersist(), held.unpersist()
     finally:
         folded.unpersist()
-    results = [
-        {"f1_macro": float(f), "f1_std": float(s), **setting}
-        for f, s, setting in zip(found.avgMetrics, found.stdMetrics, settings)
-    ]
+    results = []
+    for setting, values in zip(settings, scores):
+        mean, std = mean_std(values)
+        results.append({"f1_macro": mean, "f1_std": std, **setting})
     return sorted(results, key=lambda row: -row["f1_macro"])
 
 
@@ -319,9 +321,11 @@ def learning_curve(
             seen, held = [], []
             for i in range(folds):
                 inside = row_hash(keys, SEED + 1) < F.lit(int(size * HASH_SIZE))
-                part = folded.where((F.col("fold") != i) & inside)
+                part, rest = folded.where((F.col("fold") != i) & inside), folded.where(F.col("fold") == i)
+                rates = refit_places(part) if leak_free else None
+                part, rest = with_places(part, rates), with_places(rest, rates)
                 model, _ = fit(part, classifier, leak_free)
-                for rows, into in ((part, seen), (folded.where(F.col("fold") == i), held)):
+                for rows, into in ((part, seen), (rest, held)):
                     pairs = score(model, rows).select("label", "prediction")
                     into.append(M.macro_scores(pairs).first()["f1_macro"])
             (tm, ts), (vm, vs) = mean_std(seen), mean_std(held)
@@ -364,26 +368,28 @@ def linear_attribution(model: PipelineModel, df: DataFrame, names: Sequence[str]
 def ablation_attribution(model: PipelineModel, sample: DataFrame, names: Sequence[str]) -> DataFrame:
     """Mean absolute change of the class probabilities when a feature is set to its mean.
 
-    For any model. ``sample`` is scored once per feature in one job: keep it to some hundred rows.
+    For any model. Rows are scored as they are, then once with each feature at its mean, side by
+    side in the same row: no id and no join is needed, and only sums per feature are shuffled.
     """
     last = model.stages[-1]
-    prepared = PipelineModel(model.stages[:-1]).transform(sample)
-    rows = prepared.select(
-        F.monotonically_increasing_id().alias("id"), vector_to_array("features").alias("x")
-    )
-    means = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).collect()
-    mean_of = F.array(*[F.lit(row["m"]) for row in sorted(means, key=lambda row: row["i"])])
-    changed = rows.select("x", F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("k"), "id")
-    swapped = F.transform("x", lambda v, i: F.when(i == F.col("k"), F.get(mean_of, i)).otherwise(v))
-    scored = last.transform(changed.select("id", "k", array_to_vector(swapped).alias("features")))
-    scored = with_scores(scored, isinstance(last, OneVsRestModel)).select("id", "k", F.array("p0", "p1", "p2").alias("p"))
-    base = scored.where("k = -1").select("id", F.col("p").alias("p_base"))
-    moved = F.aggregate(F.zip_with("p", "p_base", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
-    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1)
+    one_vs_rest = isinstance(last, OneVsRestModel)
+    prepared = PipelineModel(model.stages[:-1]).transform(sample).select("features")
+    means = prepared.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray().tolist()
+
+    def scored(rows: DataFrame, out: str) -> DataFrame:
+        got = with_scores(last.transform(rows), one_vs_rest)
+        return got.select(*[c for c in rows.columns if c != "features"], F.array("p0", "p1", "p2").alias(out))
+
+    base = scored(prepared.withColumn("_x", F.col("features")), "_base")
+    mean_of = F.array(*[F.lit(m) for m in means])
+    at = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_k")
+    swapped = F.transform(vector_to_array("_x"), lambda v, i: F.when(i == F.col("_k"), F.get(mean_of, i)).otherwise(v))
+    changed = base.select("_x", "_base", at).select("_base", "_k", array_to_vector(swapped).alias("features"))
+    moved = F.aggregate(F.zip_with("_p", "_base", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_k") + 1)
     return (
-        scored.where("k >= 0")
-        .join(base, "id")
-        .groupBy("k")
+        scored(changed, "_moved").withColumnRenamed("_moved", "_p")
+        .groupBy("_k")
         .agg(F.avg(moved / 3).alias("contribution"))
         .select(label.alias("feature"), "contribution")
         .orderBy(F.desc("contribution"), "feature")

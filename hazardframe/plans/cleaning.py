@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 
+from hazardframe.functions.joins import store
 from hazardframe.operators.clean import (
     cap_cost,
     drop_incoherent,
@@ -24,17 +25,21 @@ def clean_incidents(
     tie: Sequence[Column | str],
     r: Roles = INCIDENT,
     drop: Sequence[str] = (),
+    accuracy: int | None = None,
 ) -> DataFrame:
     """Row repairs, imputation, dedup, consistency, cost cap and severity rank, in that order.
 
     Imputation comes before dedup, so its statistics see every copy; the cost cap
     is taken after dedup and after the incoherent rows are gone. ``tie`` orders the
-    copies of one id; columns named in ``drop`` served only for that.
+    copies of one id; columns named in ``drop`` served only for that. The coherent rows are
+    stored before the cap, so that joins and dedup run once and cap and result read the store.
+    With ``accuracy`` the medians and the cap are one-pass sketches.
     """
     repaired = repair_rows(raw, r)
-    filled = fill_all(repaired, r)
+    filled = fill_all(repaired, r, accuracy)
     unique = keep_first(filled, tie, r).drop(*drop)
-    return encode_severity(cap_cost(drop_incoherent(unique, r), r), r)
+    coherent = store(drop_incoherent(unique, r), "coherent")
+    return encode_severity(cap_cost(coherent, r, accuracy=accuracy), r)
 
 
 def run_cleaning(

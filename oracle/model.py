@@ -1,6 +1,7 @@
 """DuckDB oracles of split sizes and class weights."""
 
 from oracle.binding import on_repaired, rnd, row_hash
+from oracle.cleaning import on_clean
 
 LABELLED = "lab AS (SELECT CAST(list_position(['Léger', 'Grave', 'Mortel'], gravite) - 1 AS INTEGER) AS gravite_num FROM raw)"
 SIZES = "siz AS (SELECT gravite_num, count(*) AS c FROM lab GROUP BY gravite_num)"
@@ -24,7 +25,33 @@ KNOWN = {
 }
 FILLED = {"vitesse_estimee", "cause", "nombre_victimes"}
 
+PLANTED = f"""hashed AS (SELECT accident_id, CASE WHEN limitation_vitesse >= 90 THEN 2 WHEN cause = 'Alcool' THEN 1 ELSE 0 END AS gravite_num,
+  {row_hash('accident_id')} AS h FROM clean)"""
+OF_TRAIN = f"""hashed AS (SELECT accident_id, gravite_num, gravite, region, ville, axe_routier, {row_hash('accident_id')} AS h FROM clean)"""
+PARTED = f"parted AS (SELECT *, CASE WHEN {_beyond('CAST(round(c * 0.2::DOUBLE) AS BIGINT)')} THEN 'train' ELSE 'test' END AS part FROM ranked)"
+PREDICTED = on_clean(
+    "SELECT accident_id, ['Léger', 'Grave', 'Mortel'][gravite_num + 1] AS gravite_predite, CAST(gravite_num AS INTEGER) AS classe_num "
+    "FROM parted WHERE part = 'test'",
+    PLANTED, RANKED, PARTED,
+)
+
+
+def _share(column, name):
+    return (f"{name} AS (SELECT {column}, avg(CASE WHEN gravite = 'Mortel' THEN 1.0::DOUBLE ELSE 0 END) AS s, count(accident_id) AS n "
+            f"FROM parted WHERE part = 'train' GROUP BY {column})")
+
+
 ORACLES = {
+    "logistic_scores": PREDICTED,
+    "forest_scores": PREDICTED,
+    "boosted_scores": PREDICTED,
+    "place_rates_of_train": on_clean(
+        f"SELECT accident_id, part, {rnd('coalesce(a.s, w.s)', 9)} AS taux_mortalite_region, {rnd('coalesce(b.s, w.s)', 9)} AS taux_mortalite_ville, "
+        f"coalesce(d.n, 0) AS nb_accidents_axe, {rnd('ln(1 + coalesce(d.n, 0))', 9)} AS log_nb_accidents_axe FROM parted p "
+        "LEFT JOIN by_region a ON p.region = a.region LEFT JOIN by_town b ON p.ville = b.ville LEFT JOIN by_road d ON p.axe_routier = d.axe_routier, "
+        "(SELECT avg(CASE WHEN gravite = 'Mortel' THEN 1.0::DOUBLE ELSE 0 END) AS s FROM parted WHERE part = 'train') w",
+        OF_TRAIN, RANKED, PARTED, _share("region", "by_region"), _share("ville", "by_town"), _share("axe_routier", "by_road"),
+    ),
     "split_members": on_repaired(
         f"SELECT accident_id, gravite_num, CASE WHEN {_beyond('CAST(round(c * 0.2::DOUBLE) AS BIGINT)')} THEN 'train' ELSE 'test' END AS part FROM ranked",
         HASHED,
