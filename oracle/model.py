@@ -45,6 +45,11 @@ ORACLES = {
     "logistic_scores": PREDICTED,
     "forest_scores": PREDICTED,
     "boosted_scores": PREDICTED,
+    "cross_validation": on_clean(
+        "SELECT CAST(j AS INTEGER) AS fold, 1.0::DOUBLE AS f1_macro, 1.0::DOUBLE AS balanced_acc, 1.0::DOUBLE AS accuracy "
+        "FROM range(5) t(j) WHERE (SELECT count(DISTINCT gravite_num) FROM hashed) = 3",
+        PLANTED,
+    ),
     "place_rates_of_train": on_clean(
         f"SELECT accident_id, part, {rnd('coalesce(a.s, w.s)', 9)} AS taux_mortalite_region, {rnd('coalesce(b.s, w.s)', 9)} AS taux_mortalite_ville, "
         f"coalesce(d.n, 0) AS nb_accidents_axe, {rnd('ln(1 + coalesce(d.n, 0))', 9)} AS log_nb_accidents_axe FROM parted p "

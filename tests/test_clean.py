@@ -9,7 +9,7 @@ from catalog.relations import clean
 from hazardframe.functions.scalar import strip
 from hazardframe.operators import clean as C
 from hazardframe.operators import impute as I
-from hazardframe.plans.cleaning import clean_incidents
+from hazardframe.plans.cleaning import clean_incidents, run_cleaning
 from hazardframe.sources.testbed import TIE_KEY, incidents
 
 
@@ -133,3 +133,12 @@ def test_partitioning_does_not_matter(spark, sf_dir, cleaned):
     other = clean_incidents(incidents(spark, sf_dir, tie_key=True).repartition(7), TIE_KEY, drop=TIE_KEY)
     assert other.exceptAll(cleaned).count() == 0
     assert other.count() == cleaned.count()
+
+
+def test_sketches_stay_close(spark, sf_dir):
+    exact, sketch = (
+        run_cleaning(incidents(spark, sf_dir, tie_key=True), TIE_KEY, drop=TIE_KEY, accuracy=a) for a in (None, 10_000)
+    )
+    assert exact.columns == sketch.columns and exact.count() == sketch.count()
+    top = [df.agg(F.max("cout_estime").alias("m")).first()["m"] for df in (exact, sketch)]
+    assert top[0] == pytest.approx(top[1], rel=0.01)

@@ -75,14 +75,42 @@ def test_search_and_importance(spark, rows):
     assert [round(c["size"], 1) for c in curve] == [0.5, 1.0]
 
 
+def test_a_held_out_label_changes_no_feature(spark):
+    from hazardframe.operators import features as X
+
+    rows = [(i, f"R{i % 2}", f"V{i % 3}", f"A{i % 4}", "Mortel" if i % 5 == 0 else "Léger") for i in range(20)]
+    rows.append((20, "R9", "V9", "A9", "Mortel"))  # a place that the training rows do not know
+    schema = "accident_id int, region string, ville string, axe_routier string, gravite string"
+    table = X.place_features(spark.createDataFrame(rows, schema))
+    other = table.withColumn("gravite", F.when(F.col("accident_id") >= 15, "Mortel").otherwise(F.col("gravite")))
+
+    def features(df):
+        rates = X.refit_places(df.where("accident_id < 15"))
+        return {r["accident_id"]: r for r in X.with_places(df, rates).drop("gravite").collect()}
+
+    found = features(table)
+    assert found == features(other)
+    assert found[20]["taux_mortalite_region"] == found[20]["taux_mortalite_ville"] == pytest.approx(3 / 15)
+    assert found[20]["nb_accidents_axe"] == 0 and found[0]["nb_accidents_axe"] == 4
+    assert X.refit_places(table.drop("region")) is None
+
+
+def test_ablation_names_what_counts(spark, rows):
+    model, names = L.fit(L.prepare(rows), L.forest(numTrees=5, maxDepth=4))
+    got = {r["feature"]: r["contribution"] for r in L.ablation_attribution(model, rows, names).collect()}
+    assert set(got) == set(names) and max(got, key=got.get) == "vitesse_estimee"
+    assert got == {r["feature"]: pytest.approx(r["contribution"]) for r in L.ablation_attribution(model, rows.repartition(5), names).collect()}
+
+
 def test_all_stages(spark, sf_dir, tmp_path):
     from hazardframe.plans.everything import run_all
     from hazardframe.sources.tables import load_json
     from hazardframe.sources.testbed import TIE_KEY, incidents
 
     raw = incidents(spark, sf_dir, tie_key=True)
-    out = run_all(raw, TIE_KEY, str(tmp_path), drop=TIE_KEY, folds=0, settings=LIGHT)
-    assert len(out["features"].columns) == 71
+    out = run_all(raw, TIE_KEY, str(tmp_path), drop=TIE_KEY, folds=0, settings=LIGHT, leak_free=True)
+    assert len(out["features"].columns) == 70
+    assert (tmp_path / "models/place_rates.parquet").exists()
     assert len(list((tmp_path / "reports").iterdir())) == 11
     report = load_json(spark, str(tmp_path / "final_report"))
     assert report["best_model"] == out["comparison"].first()["model_name"]
