@@ -225,20 +225,22 @@ def apart(folded: DataFrame, fold: int, leak_free: bool) -> tuple[DataFrame, Dat
 
 
 def cross_validate(
-    train: DataFrame, classifier: Estimator, keys: Sequence[str], k: int = 5, leak_free: bool = False
+    train: DataFrame, classifier: Estimator, keys: Sequence[str], k: int = 5, leak_free: bool = False, parallelism: int = 5
 ) -> list[dict[str, float]]:
-    """Scores of each stratified fold, everything fitted on the other folds."""
+    """Scores of each stratified fold, everything fitted on the other folds, ``parallelism`` folds at a time."""
     folded = stratified_folds(train, LABEL, keys, k, SEED).persist()
-    scores = []
+
+    def scored(i: int) -> dict[str, float]:
+        rest, held = apart(folded, i, leak_free)
+        model, _ = fit(rest, classifier, leak_free)
+        pairs = score(model, held).select("label", "prediction")
+        return {"fold": i, **M.macro_scores(pairs).first().asDict()}
+
     try:
-        for i in range(k):
-            rest, held = apart(folded, i, leak_free)
-            model, _ = fit(rest, classifier, leak_free)
-            pairs = score(model, held).select("label", "prediction")
-            scores.append({"fold": i, **M.macro_scores(pairs).first().asDict()})
+        with ThreadPool(parallelism) as pool:
+            return pool.map(scored, range(k))
     finally:
         folded.unpersist()
-    return scores
 
 
 def mean_std(values: Iterable[float]) -> tuple[float, float]:
