@@ -146,10 +146,22 @@ def _longest(places: Column) -> Column:
     return F.aggregate(places, start, step, lambda s: s["best"])
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """The rows of `docs`, all columns, whose key leaks no item."""
-    bad = leaks(docs, benchmark, key=key, **options).select(F.col(key).alias("leaking")).distinct()
-    return docs.join(bad, docs[key].eqNullSafe(bad["leaking"]), "left_anti")
+def remove(
+    docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options
+) -> DataFrame:
+    """The rows of `docs`, all columns, whose document leaks no item.
+
+    Rows that share a key are one document and go together. Rows without a key are known by
+    their text's hash and judged each by itself."""
+
+    def unnamed(df: DataFrame) -> Column:
+        return F.when(df[key].isNull(), F.xxhash64(df[text]))
+
+    marked = docs.select(F.struct(docs[key].alias("key"), unnamed(docs).alias("x")).alias("row"), docs[text].alias("text"))
+    bad = leaks(marked, benchmark, key="row", **options).select(
+        F.col("row.key").alias("leaking"), F.col("row.x").alias("leaking_x")).distinct()
+    same = docs[key].eqNullSafe(bad["leaking"]) & unnamed(docs).eqNullSafe(bad["leaking_x"])
+    return docs.join(bad, same, "left_anti")
 
 
 def oracle() -> str:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_map, components, keep, only
+from hazardframe.llm.common import arrow_map, components, keep
 
 SHINGLE = 4
 RADIUS = 4
@@ -31,6 +31,8 @@ CELL = 2048
 STEP = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Column of the text's hash beside the columns of documents.
+_HASH = "__text_hash"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -59,15 +61,17 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row (key, fp) per row; fp is the fingerprint's 64 bits as a signed long."""
+    """One row (key, x, fp) per row; x is the text's hash, fp the fingerprint's 64 bits as a signed long."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=[key, "fp"])
+            values = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(values.view(np.int64))], names=[key, "x", "fp"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return arrow_map(only(docs, key, text), of, f"`{key}` {kind}, fp long")
+    own = docs.select(F.col(f"`{key}`"), F.xxhash64(F.col(f"`{text}`")).alias("x"), F.col(f"`{text}`"))
+    return arrow_map(own, of, f"`{key}` {kind}, x long, fp long")
 
 
 def planes(groups: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -255,6 +259,17 @@ def _whole_cells(batches: Iterator[pa.RecordBatch], least: int = 20_000) -> Iter
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _placed(docs: DataFrame, radius: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """(key, x, fp) of every row, and (fp, first, component) of every fingerprint: `first` is its
+    row of least key, null last, then of least text hash."""
+    prints = keep(fingerprints(docs, text, key), "fingerprints")
+    first = F.min(F.struct(F.col(key).isNull().alias("unknown"), F.col(key).alias("least"), "x"))
+    values = keep(prints.groupBy("fp").agg(first.alias("first")), "values")
+    groups = components(links(values.select("fp"), radius), "simhash")
+    placed = values.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+    return prints, keep(placed.select("fp", "first", F.coalesce("component", "fp").alias("component")), "placed")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, fp, component_id) for every row: rows whose fingerprints are linked, directly or by a
     chain, have the same component_id, the least non-null key among them.
@@ -263,21 +278,21 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     repeated. A row without a key gets its component's least key, null if no member has one.
     Further columns are ignored. An empty table gives an empty result.
     """
-    prints = keep(fingerprints(docs, text, key), "fingerprints")
-    values = keep(prints.groupBy("fp").agg(F.min(key).alias("least")), "values")
-    groups = components(links(values.select("fp"), radius), "simhash")
-    placed = values.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = keep(placed.select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
-    heads = keep(placed.groupBy("component").agg(F.min("least").alias("component_id")), "heads")
+    prints, placed = _placed(docs, radius, text, key)
+    heads = keep(placed.groupBy("component").agg(F.min("first.least").alias("component_id")), "heads")
     named = keep(placed.join(heads, "component").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(key, "fp", "component_id")
 
 
 def representatives(docs: DataFrame, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row of `docs`, all columns, of each group: that of its least key, of repeats any one.
-    Rows without a key stay only where their whole group has none, one of them."""
-    groups = near_duplicates(docs, radius, text, key)
-    heads = groups.filter(F.col(key).eqNullSafe(F.col("component_id")))
-    heads = keep(heads.select(F.col(key).alias("head"), "fp").distinct(), "heads")
-    kept = docs.join(heads, docs[key].eqNullSafe(heads["head"]), "left_semi")
-    return kept.dropDuplicates([key])
+    Rows without a key stay only where their whole group has none, one of them.
+
+    A row is known by its key and its text's hash, so a key that several texts share, null
+    included, stands for each of their groups."""
+    _, placed = _placed(docs, radius, text, key)
+    heads = placed.groupBy("component").agg(F.min("first").alias("first"))
+    heads = keep(heads.select(F.col("first.least").alias("head"), F.col("first.x").alias("head_x")).distinct(), "heads")
+    rows = docs.withColumn(_HASH, F.xxhash64(F.col(text)))
+    kept = rows.join(heads, rows[key].eqNullSafe(heads["head"]) & (rows[_HASH] == heads["head_x"]), "left_semi")
+    return kept.dropDuplicates([key, _HASH]).drop(_HASH)

@@ -136,3 +136,13 @@ def test_leaks(spark):
     left = decontaminate.remove(docs, items)
     assert sorted(r.doc_id for r in left.collect()) == [12, 13, 16, 17, 19, 21] and left.columns == docs.columns
     assert decontaminate.leaks(docs.limit(0), items).count() == 0 == decontaminate.leaks(docs, items.limit(0)).count()
+
+
+def test_texts_without_a_key_leak_by_themselves(spark):
+    rng = random.Random(4)
+    item, good = sentence(rng, 30), sentence(rng, 30)
+    rows = [(None, item, 1), (None, good, 2), (7, good, 3), (None, None, 4), (8, item, 5), (None, item, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n long")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = decontaminate.remove(docs, items)
+    assert sorted(r.n for r in left.collect()) == [2, 3, 4] and left.columns == docs.columns

@@ -91,3 +91,14 @@ def test_bit_sliced_distances():
         got = {(int(q[i]), int(w[i]) * 64 + b) for i, m in zip(hit, bits) for b in range(64) if int(m) >> b & 1}
         want = {(i, j) for i in range(300) for j in range(300) if bin(int(values[i] ^ values[j])).count("1") <= radius}
         assert {x for x in got if x[1] < 300} == want
+
+
+def test_representatives_of_null_and_reused_ids(spark):
+    one, two, three = ("".join(random.Random(n).choices("abcdefgh     ", k=400)) for n in range(3))
+    four = "".join(random.Random(9).choices("ijklmnop     ", k=400))
+    rows = [(None, one, "a"), (None, two, "b"), (None, two, "b"), (7, three, "c"), (7, four, "d"), (7, four, "d"),
+            (8, four, "e"), (None, three, "f"), (5, "", "g"), (6, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string")
+    got = simhash.representatives(df)
+    want = [(None, one, "a"), (None, two, "b"), (7, three, "c"), (7, four, "d"), (5, "", "g")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and got.columns == df.columns
