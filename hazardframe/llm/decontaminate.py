@@ -3,9 +3,9 @@
 A text becomes a sequence of lower-case words in which numbers, the units behind them and names
 (capitalised words inside a sentence) are slots. Hashes of five-word windows of documents meet
 those of the benchmark in a hash join; a window with a name is hashed twice, with the name and
-with its placeholder. Matches are gathered by document, item and offset; an offset counts if its
-slots are consistent, that is, if each value in the item stands for one value in the document. A
-document leaks an item if the windows cover at least 0.8 of the item's, or 13 words in a row.
+with its placeholder. Matches are gathered by document, item and offset. Windows whose slots hold
+the item's own values always count; those with a changed slot count if the offset is consistent,
+that is, if each value in the item stands for one value in the document. A document leaks an item if the windows cover at least 0.8 of the item's, or 13 words in a row.
 """
 
 from __future__ import annotations
@@ -115,15 +115,18 @@ def leaks(
     met = windows(own, "d").drop("n").join(asked, "hash")
     pairs = F.when(F.col("slots").isNotNull() & F.col("asked").isNotNull(),
                    F.filter(F.arrays_zip(F.col("asked").alias("a"), F.col("slots").alias("b")), lambda x: x["a"].isNotNull()))
+    # On one offset an item's place meets one place of the text: the sets are bounded by the item.
+    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
     runs = (
         met.select("d", "i", "n", "at", (F.col("pos") - F.col("at")).alias("offset"), pairs.alias("pairs"))
+        .withColumn("same", F.coalesce(F.forall("pairs", lambda x: x["a"] == x["b"]), F.lit(True)))
         .groupBy("d", "i", "offset")
-        .agg(F.max("n").alias("n"), F.collect_set("at").alias("at"),
+        .agg(F.max("n").alias("n"), F.collect_set("at").alias("every"), F.collect_set(F.when(F.col("same"), F.col("at"))).alias("same"),
              F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-        # On one offset an item's place meets one place of the text: both sets are bounded by the item.
-        .filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"]))))
+        .withColumn("at", F.when(consistent, F.col("every")).otherwise(F.col("same")))
+        .withColumn("changed", F.when(consistent, F.size(F.filter("pairs", lambda x: x["a"] != x["b"]))).otherwise(0))
+        .filter(F.size("at") > 0)
         .withColumn("run", _longest(F.array_sort("at")))
-        .withColumn("changed", F.size(F.filter("pairs", lambda x: x["a"] != x["b"])))
     )
     places = runs.select("d", "i", "n", "run", "changed", F.explode("at").alias("at"))
     once = places.groupBy("d", "i", "at").agg(

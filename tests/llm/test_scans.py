@@ -146,3 +146,19 @@ def test_texts_without_a_key_leak_by_themselves(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     left = decontaminate.remove(docs, items)
     assert sorted(r.n for r in left.collect()) == [2, 3, 4] and left.columns == docs.columns
+
+
+def test_near_copies_of_one_conflicting_value_leak(spark):
+    rng = random.Random(6)
+    fill = lambda n: sentence(rng, n)
+    a, b, c = fill(20), fill(20), fill(20)
+    texts = {1: (f"{a} with Tom {b} with Tom {c}", "Tom", "Bob"), 2: (f"{a} has 3 {b} has 3 {c}", "3", "4"),
+             3: (f"{a} 7 minutes {b} 7 minutes {c}", "minutes", "seconds")}
+    rows = [(k, (lambda cut: f"{cut[0]}{new}{cut[1]}")(t.rsplit(old, 1))) for k, (t, old, new) in texts.items()]
+    rows += [(9, "Short words with Tom and Tom again"), (10, "Short words with Tom and Bob again")]
+    items = spark.createDataFrame([*((k, t) for k, (t, _, _) in texts.items()), (9, rows[-2][1])], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()}
+    for k in texts:
+        assert got[k, k].longest_run >= 40 and got[k, k].changed_slots == 0
+        assert 1 <= got[k, k].n_windows - got[k, k].n_matched <= decontaminate.WINDOW
+    assert (9, 9) in got and (10, 9) not in got
