@@ -3,12 +3,15 @@
 All rolling word k-gram hashes of the texts meet the positions of the templates in a Spark join.
 Hits of a text and a template vote for the diagonal on which they lie (text place minus template
 place); neighbouring diagonals are merged, which bridges inserted and lost words, and the span
-they cover is verified: enough of the template, densely enough. A phrase is a template that must
+they cover is verified: enough of the template, densely enough, and for each similar template of
+another license some k-gram at the words in which the two differ. A phrase is a template that must
 be covered whole on one diagonal.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,27 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: list[tuple[
     return grams(counted, ["template", "label", "phrase", "n_grams"]).withColumnRenamed("place", "at")
 
 
+def deciding(own: list[str], other: list[str], k: int = K) -> list[int]:
+    """Places of the k-grams of `own` that tell it from `other`: those at a change between two
+    stretches of k - 1 words or more that both have in the same order. Empty if there is none."""
+    match = SequenceMatcher(None, own, other, autojunk=False)
+    same = [m for m in match.get_matching_blocks() if m.size >= k - 1]
+    theirs = {tuple(other[i : i + k]) for i in range(len(other) - k + 1)}
+    at = {i for x, y in zip(same, same[1:], strict=False) for i in range(max(0, x.a + x.size - k + 1), min(y.a, len(own) - k + 1))}
+    at |= {i for x, y in zip(same, same[1:], strict=False) for i in range(max(0, y.a - k + 1), min(y.a, len(own) - k + 1))}
+    return sorted(i for i in at if tuple(own[i : i + k]) not in theirs)
+
+
+def requirements(spark: SparkSession, phrases: dict[str, str], notices: list[tuple[str, str]]) -> DataFrame:
+    """(template, needed): for each similar notice of another license the places of which one must
+    be hit; a row per notice, fixed by the lists."""
+    rows = []
+    for i, (label, text) in enumerate(notices):
+        others = (deciding(text.split(), t.split()) for name, t in notices if name != label)
+        rows.append((len(phrases) + i, [x for x in others if x]))
+    return spark.createDataFrame(rows, "template int, needed array<array<int>>")
+
+
 def spans(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES,
     text: str = "text", key: str = "doc_id",
@@ -99,11 +123,13 @@ def spans(
     merged = hit.groupBy("d", "x", "template", "label", "n_grams", "span", "at").agg(
         F.min("diagonal").alias("low"), F.max("diagonal").alias("high"))
     found = merged.groupBy("d", "x", "template", "label", "n_grams", "span").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.col("low") + F.col("at")).alias("first"),
+        F.count(F.lit(1)).alias("n"), F.collect_set("at").alias("hit"), F.min(F.col("low") + F.col("at")).alias("first"),
         F.max(F.col("high") + F.col("at") + K - 1).alias("last"))
     covered = F.col("n") / F.col("n_grams")
     dense = (F.col("n") + K - 1) / (F.col("last") - F.col("first") + 1)
-    verified = found.filter((covered >= COVERED) & (dense >= DENSE)).select(
+    needed = F.broadcast(requirements(docs.sparkSession, phrases, notices))  # a row per notice
+    decided = F.forall("needed", lambda places: F.arrays_overlap(places, "hit"))
+    verified = found.filter((covered >= COVERED) & (dense >= DENSE)).join(needed, "template").filter(decided).select(
         "d", "x", "label", F.lit(False).alias("phrase"), "first", "last", covered.alias("covered"))
     return whole.unionByName(verified)
 

@@ -162,3 +162,15 @@ def test_near_copies_of_one_conflicting_value_leak(spark):
         assert got[k, k].longest_run >= 40 and got[k, k].changed_slots == 0
         assert 1 <= got[k, k].n_windows - got[k, k].n_matched <= decontaminate.WINDOW
     assert (9, 9) in got and (10, 9) not in got
+
+
+def test_each_notice_has_its_own_label_only(spark):
+    by = "this work is licensed under a creative commons attribution {} 4 0 international license"
+    full = ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU {} General Public "
+            "License as published by the Free Software Foundation")
+    short = "You may use it under the terms of the GNU General Public License as published by the Free Software Foundation"
+    rows = [(i, f"a b {text} y z", label) for i, (label, text) in enumerate(licenses.NOTICES)]
+    rows += [(100, full.format("Lesser"), "lgpl"), (101, full.format("Affero"), "agpl"), (102, full.format(""), "gpl"), (103, short, ""),
+             (104, by.format("noncommercial sharealike"), "cc-by-nc,cc-by-sa"), (105, by.format("noderivatives"), "")]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: label for i, _, label in rows}
