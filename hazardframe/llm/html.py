@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. Words score one, tags a negative weight learned from
 labelled pages: pages with an article or main element say which tags stand inside and outside the
-content, and a tag's weight is the log ratio of these rates, in words. One linear scan finds the
+content, and a tag's weight is the log ratio of these rates, in words. It goes by the element's
+name, so that pages without a label, whose tags all stand outside of one, have the same. One linear scan finds the
 contiguous region of the highest sum. Menus, adverts, forms, comments and the like inside the
 region are left out by their elements' names and classes.
 """
@@ -211,10 +212,21 @@ def learn(pages: DataFrame, labelled: int = LABELLED, html: str = "html", key: s
     if not any(r.i for r in rows):
         return Weights()
     n_in, n_out = sum(r.i for r in rows) + len(rows), sum(r.o for r in rows) + len(rows)
-    ratio = {r.tag: math.log((r.i + 1) / n_in) - math.log((r.o + 1) / n_out) for r in rows}
+    inside, outside = Counter(), Counter()
+    for r in rows:
+        for tag in _sharing(r.tag):
+            inside[tag] += r.i
+            outside[tag] += r.o
+    ratio = {t: math.log((inside[t] + 1) / n_in) - math.log((outside[t] + 1) / n_out) for t in inside}
     return Weights({t: min(MOST, max(LEAST, -SCALE * x)) for t, x in ratio.items()})
 
 
+def _sharing(tag: str) -> list[str]:
+    """The tags that have one weight with `tag`: inside and outside of a label; what is apart has its own."""
+    place, name = tag.split(">", 1)
+    return [tag] if place == "apart" else ["content>" + name, "page>" + name]
+
+
 def extract(pages: DataFrame, weights: Weights, html: str = "html", key: str = "page_id") -> DataFrame:
     """(key, url, text, n_chars) for every row. A null, empty or contentless page has the empty
     text; repeated rows stay repeated; further columns are ignored."""

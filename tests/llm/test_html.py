@@ -67,3 +67,11 @@ def test_odd_pages(spark):
     assert len(got) == len(odd) + 1 and texts[0] == texts[1] == texts[2] == "" and texts[3] == "plain words only"
     assert texts[5] == "a < b and c" and texts[8] == "x" and texts[9] == "x" and texts[12] == "deep" and texts[14] == ""
     assert html.extract(frame.limit(0), html.learn(frame.limit(0))).count() == 0
+
+
+def test_unmarked_page_keeps_its_paragraphs_with_learned_weights(spark):
+    weights = html.learn(spark.read.parquet(f"{DATA}/pages.parquet"))
+    assert weights.of["page>p"] == weights.of["content>p"] and weights.of["page>h1"] == weights.of["content>h1"]
+    lines = ["A head line", "First paragraph of some ten words or so in all.", "Second one is a little longer than the first one was.", "Last."]
+    page = "<html><body><nav><a>Home</a></nav><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></body></html>".format(*lines)
+    assert html.main_text(page, weights).split("\n") == lines
