@@ -7,6 +7,9 @@ rule fits, unless some alias is explicitly allowed.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5, name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +26,13 @@ RULES = [
 
 _URL = r"^(.*?://)([^/?#]*)([^?#]*)(.*)$"
 _ASCII = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical[\"']?[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh[\"']?[^>]*>"
+_TAG = r"(?is)<{0}\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|<{0}\b[^>]*>"
+_VALUE = r"(?is)(?<![\w-]){}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_REFRESH = r"(?is)^\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?+|[;,]?\s*url\s*=\s*)[\"']?\s*([^\"']+)"
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+#: Named character references: those of HTML 4 and all that stand for an ASCII character.
+_NAMES = {n: chr(c) for n, c in name2codepoint.items()} | {
+    n[:-1]: c for n, c in html5.items() if n.endswith(";") and len(c) == 1 and c.isascii()}
 
 
 def _part(url: Column, group: int) -> Column:
@@ -54,17 +62,89 @@ def rule(host: Column, path: Column, rules: list[tuple[str, str, str]], give: st
     return fits
 
 
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(_TAG.format(name)), F.lit(0))
+
+
+def _value(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not; empty if it is missing."""
+    return F.concat(*[F.regexp_extract(tag, _VALUE.format(name), i) for i in (1, 2, 3)])
+
+
+def _once(value: Column) -> Column:
+    """`value` behind an explode, through which filters and projections do not copy it."""
+    return F.explode(F.array(value))
+
+
+def _decoded(text: Column) -> Column:
+    """`text` with its character references replaced; unknown ones stay as they are."""
+    names = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")
+
+    def one(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#0*([0-9]{1,7});$", 1)
+        hexed = F.regexp_extract(piece, r"^&#[xX]0*([0-9a-fA-F]{1,6});$", 1)
+        code = F.when(digits != "", digits.cast("int")).when(hexed != "", F.conv(hexed, 16, 10).cast("int"))
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.coalesce(char, F.try_element_at(names, F.regexp_extract(piece, r"^&(\w+);$", 1)), piece)
+
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)&#?\w+;|&|[^&]+"), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, one), "")).otherwise(text)
+
+
+def _without_dots(to: Column) -> Column:
+    """A path and what follows it, its . and .. segments taken away (RFC 3986, 5.2.4)."""
+    whole = F.split(F.regexp_extract(to, "(?s)^([^?#]*)", 1), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    parts = F.aggregate(F.slice(whole, 2, F.size(whole)), F.array(F.lit("")), step)
+    ends = F.when(F.element_at(whole, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    clean = F.array_join(F.concat(parts, ends), "/")
+    return F.concat(F.when(clean == "", "/").otherwise(clean), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1))
+
+
+def resolve(own: Column, to: Column) -> Column:
+    """The URL that the reference `to` means on the page `own` (RFC 3986, 5.2); null if it names
+    none: a scheme without ://, a fragment only, an empty text."""
+    scheme, site, way = _part(own, 1), F.concat(_part(own, 1), _part(own, 2)), _part(own, 3)
+    folder = F.when(way == "", "/").otherwise(F.regexp_replace(way, r"(?s)[^/]*$", ""))
+    return (
+        F.when((to == "") | to.startswith("#"), None)
+        .when(to.rlike(_SCHEME), F.when(to.rlike(_SCHEME + "//"), to))
+        .when(scheme == "", None)
+        .when(to.startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), to))
+        .when(to.startswith("/"), F.concat(site, _without_dots(to)))
+        .when(to.startswith("?"), F.concat(site, way, to))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, to))))
+    )
+
+
 def edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): nodes of pages and of their canonical links and refresh targets."""
-    own = F.col(url)
-    text = F.coalesce(F.col(html), F.lit(""))
-    link = F.regexp_extract(F.regexp_extract(text, _CANONICAL, 0), r"(?is)\bhref\s*=\s*[\"']?([^\s\"'>]+)", 1)
-    refresh = F.regexp_extract(F.regexp_extract(text, _REFRESH, 0), r"(?is)\burl\s*=\s*[\"']?([^\s\"'>]+)", 1)
-    targets = pages.select(own.alias("own"), F.explode(F.array(link, refresh)).alias("to")).filter("to <> ''")
-    to = F.replace("to", F.lit("&amp;"), F.lit("&"))
-    base = F.concat(_part(F.col("own"), 1), _part(F.col("own"), 2))
-    whole = F.when(F.contains(to, F.lit("://")), to).when(to.startswith("/"), F.concat(base, to))
-    return targets.select(node(F.col("own")).alias("a"), node(whole).alias("b")).filter("a is not null and b is not null and a <> b")
+    """(a, b): nodes of pages and of all their canonical links and refresh targets, which are
+    resolved against the page's base element, if any, or its URL."""
+    marked = pages.select(F.col(url).alias("own"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    marked = marked.filter(F.col("html").rlike(r"(?i)canonical|refresh")).filter(F.col("html").rlike(r"(?i)<(link|meta)\b"))
+    tagged = marked.select(
+        "own", F.get(_tags(F.col("html"), "base"), 0).alias("base"),
+        F.explode(F.concat(_tags(F.col("html"), "link"), _tags(F.col("html"), "meta"))).alias("tag"))
+    rel = F.split(F.lower(F.trim(_value(F.col("tag"), "rel"))), r"\s+")
+    link = F.when(F.array_contains(rel, "canonical"), _value(F.col("tag"), "href"))
+    kind = F.lower(F.trim(_value(F.col("tag"), "http-equiv")))
+    refresh = F.when(kind == "refresh", _value(F.col("tag"), "content"))
+    is_link = F.col("tag").rlike(r"(?i)^<link\b")
+    raw = tagged.select("own", "base", is_link.alias("link"), _once(F.when(is_link, link).otherwise(refresh)).alias("raw")).filter("raw <> ''")
+    read = raw.select("own", "base", "link", _once(_decoded(F.col("raw"))).alias("value"))
+    to = F.when(F.col("link"), F.col("value")).otherwise(F.regexp_extract("value", _REFRESH, 1))
+    tidy = F.replace(F.trim(F.regexp_replace(to, r"[\t\r\n]", "")), F.lit(" "), F.lit("%20"))
+    seen = F.trim(_value(F.col("base"), "href"))
+    told = read.select("own", _once(seen).alias("seen"), "base", "value", "link").select("own", "seen", _once(tidy).alias("to"))
+    based = told.select("own", "to", _once(F.coalesce(resolve(F.col("own"), F.col("seen")), F.col("own"))).alias("on"))
+    whole = based.select("own", _once(resolve(F.col("on"), F.col("to"))).alias("whole"))
+    return whole.select(node(F.col("own")).alias("a"), node(F.col("whole")).alias("b")).filter(
+        "a is not null and b is not null and a <> b").distinct()
 
 
 def judge(
