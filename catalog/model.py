@@ -26,13 +26,6 @@ COLUMNS = [
 #: Rounds of the registered boosted query; each is three trees, and the published 500 take minutes
 #: at any size. Depth, step and sampling are the published ones.
 ROUNDS = 40
-#: Settings of the queries that fit many models.
-LIGHT = {
-    "logistic": {"maxIter": 20},
-    "forest": {"numTrees": 10, "maxDepth": 5},
-    "boosted": {"maxIter": 3, "maxDepth": 3},
-    "boosted weighted": {"maxIter": 3, "maxDepth": 3},
-}
 
 
 def labelled(spark, sf_dir):
@@ -141,19 +134,16 @@ def cross_validation(spark, sf_dir):
 
 
 def model_comparison(spark, sf_dir):
-    return train_models(trainable(spark, sf_dir), folds=2, leak_free=True, settings=LIGHT)["comparison"]
+    return train_models(trainable(spark, sf_dir), leak_free=True)["comparison"]
 
 
 def search_results(spark, sf_dir):
-    space = {"maxIter": (1, 3, 1), "stepSize": (0.01, 0.2, "log"), "maxDepth": (2, 3, 1)}
-    rows = L.search(_train(spark, sf_dir), KEY, space, trials=2, folds=2, leak_free=True)
+    rows = L.search(_train(spark, sf_dir), KEY, L.SEARCH_SPACES["level_wise"], leak_free=True)
     return spark.createDataFrame(rows)
 
 
 def learning_curve(spark, sf_dir):
-    rows = L.learning_curve(
-        _train(spark, sf_dir), L.forest(**LIGHT["forest"]), KEY, sizes=(0.1, 0.5, 1.0), folds=2, leak_free=True
-    )
+    rows = L.learning_curve(_train(spark, sf_dir), L.forest(), KEY, leak_free=True)
     return spark.createDataFrame(rows)
 
 
