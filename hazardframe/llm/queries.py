@@ -1,4 +1,4 @@
-"""The registered queries op1 to op10, each over its whole table, and their DuckDB oracles."""
+"""The registered queries op1 to op13, each over its whole table, and their DuckDB oracles."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import binary, bpe, counts, decontaminate, html, licenses, quality, simhash, urls, warc
+from hazardframe.llm import binary, bpe, counts, decontaminate, html, licenses, periodic, quality, simhash, urls, warc
 from hazardframe.llm.common import keep, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_token_counts")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(load(spark, sf_dir, "documents"))
