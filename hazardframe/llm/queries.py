@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import binary, bpe, counts, decontaminate, html, licenses, periodic, quality, simhash, urls, warc
+from hazardframe.llm import binary, bpe, collocation, counts, decontaminate, html, licenses, periodic, quality, simhash, urls, warc
 from hazardframe.llm.common import keep, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(load(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(load(spark, sf_dir, "documents"))
