@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm import binary, bpe, collocation, counts, decontaminate, html, licenses, periodic, quality, simhash, urls, warc
+from hazardframe.llm import binary, bpe, collocation, counts, decontaminate, html, jaccard, licenses, periodic, quality, simhash, urls, warc
 from hazardframe.llm.common import keep, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op11_jaccard_join")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 @query("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(load(spark, sf_dir, "documents"))
