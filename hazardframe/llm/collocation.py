@@ -33,7 +33,7 @@ SCALE = 2_000_000
 #: Capacity of a summary in units of mass / least: the loss of a counter is below least / SLACK.
 SLACK = 4
 #: Tokens that one step counts at once, words that a task remembers, phrases that it holds.
-CHUNK, VOCABULARY, HELD = 400_000, 1_000_000, 500_000
+CHUNK, VOCABULARY, HELD = 300_000, 300_000, 300_000
 #: Bytes of text a hash partition is made for, and bounds of the two powers of two.
 PARTITION_BYTES, MOST_PARTITION_BITS, MOST_MAP_BITS = 8_000_000, 18, 29
 _PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
@@ -160,7 +160,7 @@ def survivors(docs: DataFrame, least: int, text: str, lang: str) -> np.ndarray:
     """Bytes of a bit map over the leading bits of n-gram hashes, set for all frequent n-grams."""
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
     bits = min(max(size // PARTITION_BYTES, 31).bit_length(), MOST_PARTITION_BITS)
-    map_bits = min(bits + 19, MOST_MAP_BITS)
+    map_bits = min(bits + 20, MOST_MAP_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mass = np.zeros(1 << bits, np.int64)
@@ -237,43 +237,73 @@ def counted(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
     marks = survivors(docs, least, text, lang)
     spread = docs.sparkSession.sparkContext.broadcast(marks)
     drop = np.uint64(64 - (len(marks) * 8).bit_length() + 1)
+    parts = max(1, len(marks) >> 16)  # half a million bits, so few enough phrases, each
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = spread.value
-        held: dict[tuple[bytes, int], dict[bytes, int]] = defaultdict(lambda: defaultdict(int))
+        held: dict[bytes, int] = defaultdict(int)
         for chunk in chunks(batches):
             known, numbers, own, of, langs = chunk
             for k, at, h in grams(*chunk):
                 if k == 1:
                     for i, n in enumerate(np.bincount(of[at], minlength=len(langs)).tolist()):
-                        held[langs[i], 0][b""] += n
+                        held[langs[i] + b"\n"] += n
                 bit = h >> drop
                 at = at[(marked[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & 1 == 1]
                 _, first, n = np.unique(phrase_codes(numbers, of, at, k), return_index=True, return_counts=True)
                 first = at[first]
                 words = [[known.words[x] for x in numbers[first + j].tolist()] for j in range(k)]
-                for lang_, count, *phrase in zip(of[first].tolist(), n.tolist(), *words, strict=True):
-                    held[langs[lang_], k][b" ".join(phrase)] += count
-            if sum(map(len, held.values())) > HELD:
-                yield from _flush(held)
+                for number, count, *phrase in zip(of[first].tolist(), n.tolist(), *words, strict=True):
+                    held[langs[number] + b"\n" + b" ".join(phrase)] += count
+            if len(held) > HELD:
+                yield _packed(held, parts)
                 held.clear()
-        yield from _flush(held)
-
-    rows = arrow_map(_languages(docs, text, lang), count, "lang binary, k int, phrase binary, n long")
-    names = [F.col(c).cast("string").alias(c) for c in ("lang", "phrase")]
-    return rows.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).filter(
-        (F.col("f") >= least) | (F.col("k") == 0) & (F.col("f") > 0)).select(names[0], "k", names[1], "f")
-
-
-def _flush(held: dict) -> Iterator[pa.RecordBatch]:
-    for (lang, k), phrases in held.items():
-        keys, counts = list(phrases), list(phrases.values())
-        for at in range(0, len(keys), 50_000):
-            part = keys[at : at + 50_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(part), pa.binary()), pa.array([k] * len(part), pa.int32()),
-                 pa.array(part, pa.binary()), pa.array(counts[at : at + 50_000], pa.int64())],
-                names=["lang", "k", "phrase", "n"])
+        yield _packed(held, parts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, total = -1, defaultdict(int)
+        for batch in batches:
+            for p, sizes, data, counts in zip(*batch.columns, strict=True):
+                if p.as_py() != part:
+                    yield _frequent(total, least)
+                    part, total = p.as_py(), defaultdict(int)
+                at, data = 0, data.as_py()
+                for size, n in zip(np.frombuffer(sizes.as_py(), np.uint32).tolist(), np.frombuffer(counts.as_py(), np.int64).tolist(), strict=True):
+                    total[data[at : at + size]] += n
+                    at += size
+        yield _frequent(total, least)
+
+    rows = arrow_map(_languages(docs, text, lang), count, "part int, sizes binary, data binary, counts binary")
+    rows = rows.repartition("part").sortWithinPartitions("part")
+    rows = arrow_map(rows, add, "lang binary, k int, phrase binary, f long")
+    return rows.select(F.col("lang").cast("string").alias("lang"), "k", F.col("phrase").cast("string").alias("phrase"), "f")
+
+
+def _packed(held: dict[bytes, int], parts: int) -> pa.RecordBatch:
+    """One row per part: keys (language, line end, phrase) one after another, their sizes and counts."""
+    keys = list(held)
+    part = np.array([xxhash.xxh64_intdigest(k) % parts for k in keys], np.int64)
+    order = np.argsort(part, kind="stable")
+    sizes = np.array([len(k) for k in keys], np.uint32)[order]
+    counts = np.fromiter(held.values(), np.int64, len(keys))[order]
+    some, first = np.unique(part[order], return_index=True)
+    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)) if len(some) else []
+    order = order.tolist()
+    arrays = [pa.array(some, pa.int32())] + [
+        pa.array(x, pa.binary()) for x in (
+            [sizes[s:e].tobytes() for s, e in spans],
+            [b"".join([keys[i] for i in order[s:e]]) for s, e in spans],
+            [counts[s:e].tobytes() for s, e in spans])]
+    return pa.RecordBatch.from_arrays(arrays, names=["part", "sizes", "data", "counts"])
+
+
+def _frequent(total: dict[bytes, int], least: int) -> pa.RecordBatch:
+    """(lang, k, phrase, f) of a part's frequent phrases and of the numbers of words (k = 0)."""
+    rows = [(*key.rpartition(b"\n"), n) for key, n in total.items()]
+    rows = [(lang, phrase.count(b" ") + 1 if phrase else 0, phrase, n) for lang, _, phrase, n in rows if n >= least or n and not phrase]
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    kinds = pa.binary(), pa.int32(), pa.binary(), pa.int64()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "k", "phrase", "f"])
 
 
 def _words(start: Column | int, size: Column | int) -> Column:
