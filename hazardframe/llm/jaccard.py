@@ -10,34 +10,37 @@ counts are summed per pair.
 Groups of near copies would give pairs by the square of their size. They need not: what is asked are
 components, so members of one component are not compared. In rounds, each class is
 compared with one leader among the classes it meets and that lie in another component; links
-found merge components. When the pairs across components that are left are few against the
-postings, or a round finds no link any more, all of them are compared.
+found merge components. When the meetings across components that are left are few against the
+postings, or a round does not halve them any more, all pairs that still meet are compared, those
+apart whose overlap in the prefixes already shows that they cannot reach the share.
 """
 
 from __future__ import annotations
 
+import gc
+import math
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazardframe.llm.common import arrow_map, components, keep
+from hazardframe.llm.common import arrow_map, components, keep, slices
 
 SHINGLE = 5
 #: Linked are sets whose overlap has at least this percentage of their union.
 SHARE = 80
 #: Bits of a shingle's hash; the level stands above them, the fragments are cut by bits below the level.
 HASH_BITS, FRAGMENT_BITS = 60, 3
-#: Shingles a bucket of the frequency table is made for, and the most of its two's power.
-BUCKET, MOST_BUCKET_BITS = 2048, 20
+#: Shingles a bucket of the frequency table is made for, the most buckets and the parts they travel in, as powers of two.
+BUCKET, MOST_BUCKET_BITS, PART_BITS = 256, 20, 6
 #: Rows, and shingles, up to which a counted table is broadcast.
 SMALL_ROWS, SMALL_SHINGLES = 300_000, 1_000_000
-#: Pairs across components, in postings, that are compared without a further round of leaders.
-FEW = 2
+#: Meetings across components, in postings, that are looked at without a further round of leaders.
+FEW = 32
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -79,37 +82,42 @@ def ordered(h: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def frequency_levels(docs: DataFrame, text: str) -> np.ndarray:
-    """Per bucket of shingle hashes its level: 0, or k where it has 4^k times the mean or more.
+    """Per bucket of shingle hashes its level: k where it has 2^k times the mean or more.
 
     All documents count. Any levels give the same result; they only keep frequent shingles out of
-    prefixes.
+    prefixes. A task's counts travel as arrays, one per part of the buckets.
     """
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
-    bits = min(max(size // 6 // BUCKET, 2).bit_length(), MOST_BUCKET_BITS)
+    bits = min(max(size // 6 // BUCKET, 1 << PART_BITS).bit_length(), MOST_BUCKET_BITS)
+    shift = np.uint64(HASH_BITS - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         total = np.zeros(1 << bits, np.int64)
         for batch in batches:
-            held, waiting = [], 0
-            for t in batch.column(0):
-                held.append(shingles(t.as_py(), hashes))
-                waiting += len(held[-1])
-                if waiting > 1 << 18:
-                    total += np.bincount((np.concatenate(held) >> np.uint64(HASH_BITS - bits)).astype(np.int64), minlength=1 << bits)
-                    held, waiting = [], 0
-            if held:
-                total += np.bincount((np.concatenate(held) >> np.uint64(HASH_BITS - bits)).astype(np.int64), minlength=1 << bits)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["bucket", "n"])
-
-    rows = arrow_map(docs.select(F.col(f"`{text}`").cast("binary")), count, "bucket int, n long")
-    counts = keep(rows.groupBy("bucket").agg(F.sum("n").alias("n")), "frequencies")
-    mean = max(1.0, (counts.agg(F.sum("n")).first()[0] or 0) / (1 << bits))
-    levels = np.zeros(1 << bits, np.uint8)
-    for row in counts.filter(F.col("n") >= 4 * mean).collect():  # a quarter of the buckets at most
-        levels[row.bucket] = min(7, int(np.log2(row.n / mean) // 2))
-    return levels
+            for run in slices([t.as_py() or b"" for t in batch.column(0)], 2_000_000):
+                found = np.concatenate([shingles(t, hashes) for t in run])
+                total += np.bincount((found >> shift).astype(np.int64), minlength=1 << bits)
+        parts = total.reshape(1 << PART_BITS, -1)
+        yield _parts(np.arange(len(parts)), [p.tobytes() for p in parts])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, data in zip(*batch.columns, strict=True):
+                sums[part.as_py()] = sums.get(part.as_py(), 0) + np.frombuffer(data.as_py(), np.int64)
+        yield _parts(list(sums), [x.tobytes() for x in sums.values()])
+
+    rows = arrow_map(docs.select(F.col(f"`{text}`").cast("binary")), count, "part int, counts binary").repartition("part")
+    total = np.zeros((1 << PART_BITS, 1 << bits - PART_BITS), np.int64)
+    for row in arrow_map(rows, add, "part int, counts binary").collect():  # 2^20 counts together at most
+        total[row.part] = np.frombuffer(row.counts, np.int64)
+    share = total.ravel() / max(1.0, total.mean())
+    return np.clip(np.floor(np.log2(np.maximum(share, 1.0))), 0, 7).astype(np.uint8)
+
+
+def _parts(parts, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(counts, pa.binary())], names=["part", "counts"])
 
 
 def prefix(n: int) -> int:
@@ -226,8 +234,8 @@ def component_links(met: DataFrame, parts: DataFrame) -> DataFrame | None:
     central = met.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
     central = keep(central.select("node", F.floor(F.col("c") * -1000 / F.col("n")).alias("c")), "central")
     found: list[DataFrame] = []
-    groups, turn, more = None, 0, postings > 0
-    while more:
+    groups, turn, before = None, 0, math.inf
+    while postings:
         rows = keep(_placed(met, groups), "placed")
         # The first leader is the class whose shingles most others have, later ones go by chance.
         first = F.col("c") if turn == 0 else F.lit(0)
@@ -241,7 +249,7 @@ def component_links(met: DataFrame, parts: DataFrame) -> DataFrame | None:
         across = open_.agg(F.sum(F.expr("cast(m * m - squares as double) / 2"))).first()[0] or 0
         if not across:
             break
-        last = across <= FEW * postings or (turn > 0 and not new)
+        last = across <= FEW * postings or across > before / 2
         if last:
             pairs = _across(rows, open_)
         else:
@@ -250,31 +258,39 @@ def component_links(met: DataFrame, parts: DataFrame) -> DataFrame | None:
             picked = picked.filter(_similar_sizes("n", "np")).groupBy("node", "n").agg(F.min("p").alias("p"))
             pairs = picked.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
         links = keep(linked(keep(pairs, "pairs"), parts), "links")
-        new = not links.isEmpty()
-        if new:
+        some = not links.isEmpty()
+        if some:
             found.append(links)
         if last:
             break
-        if new:
+        if some:
             groups = components(reduce(DataFrame.unionAll, found), "jaccard")
-        turn += 1
+        turn, before = turn + 1, across
+        release(met.sparkSession)
     return reduce(DataFrame.unionAll, found) if found else None
 
 
 def _across(rows: DataFrame, open_: DataFrame) -> DataFrame:
-    """Every pair across components that prefixes, sizes and places in the order do not rule out."""
+    """Every pair across components that sizes, places and overlap of the prefixes do not rule out."""
     rows = rows.join(open_.select("token"), "token")
-    index = rows.filter(F.expr(f"pos <= n - ceil({2 * SHARE} * n / {100 + SHARE})"))
-    one = index.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    one = rows.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
     other = rows.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
+    first = (F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))
+    meet = one.join(other, "token").filter((F.col("ca") != F.col("cb")) & first & _similar_sizes("na", "nb"))
+    # At the first common number, no more than the rest of the shorter tail can be common; and what is
+    # common beyond the prefixes is no more than the longer rest.
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    fits = (
-        (F.col("ca") != F.col("cb"))
-        & ((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-        & _similar_sizes("na", "nb")
-        & (left * (100 + SHARE) >= SHARE * (F.col("na") + F.col("nb")))
-    )
-    return one.join(other, "token").filter(fits).select("a", "na", "b", "nb").distinct()
+    need = SHARE * (F.col("na") + F.col("nb"))
+    counted = meet.groupBy("a", "na", "b", "nb").agg(F.count(F.lit(1)).alias("c"), F.max(left).alias("left"))
+    rest = F.expr(f"greatest(ceil({SHARE} * na / 100), ceil({SHARE} * nb / 100)) - 1")
+    fits = (F.col("left") * (100 + SHARE) >= need) & ((F.col("c") + rest) * (100 + SHARE) >= need)
+    return counted.filter(fits).select("a", "na", "b", "nb")
+
+
+def release(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished steps, whose results are kept as tables."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -291,6 +307,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = rows.filter("n > 0").groupBy("node").agg(F.min(own).alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     classes = keep(classes.select("node", "n", F.col("head.key").alias("head"), F.col("head.x").alias("x"), "prefix"), "classes")
     met = keep(meetings(classes), "meetings")
+    rows = keep(rows.drop("prefix"), "rows")
+    classes = keep(classes.drop("prefix"), "heads")
+    release(docs.sparkSession)
     nodes = keep(met.select("node").distinct(), "nodes")
     heads = keep(classes.select("node", "head", "x").join(_small(nodes), "node"), "heads")
     parts = keep(fragments(docs, heads, levels, text, key), "fragments")
