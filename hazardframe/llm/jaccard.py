@@ -12,14 +12,14 @@ components, so members of one component are not compared. In rounds, each class
 compared with one leader among the classes it meets and that lie in another component; links
 found merge components. When the meetings across components that are left are few against the
 postings, or a round does not halve them any more, all pairs that still meet are compared, those
-apart whose overlap in the prefixes already shows that they cannot reach the share.
+apart whose overlap in the prefixes or whose parity bits show that they cannot reach the share.
 """
 
 from __future__ import annotations
 
 import gc
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -126,7 +126,8 @@ def prefix(n: int) -> int:
 
 
 def sets(docs: DataFrame, levels: np.ndarray, text: str, key: str) -> DataFrame:
-    """(key, x, n, node, prefix) per row: its text's hash, its set's size, hash and first numbers.
+    """(key, x, n, node, prefix, bits) per row: its text's hash, its set's size, hash, first numbers and
+    parity bits.
 
     Sets are told apart by 64 bits; for 10^8 different ones, a chance of 3 in 10 000 that any two are
     taken for equal.
@@ -135,22 +136,34 @@ def sets(docs: DataFrame, levels: np.ndarray, text: str, key: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in batches:
-            sizes, nodes, firsts = [], [], []
+            sizes, nodes, firsts, bits = [], [], [], []
             for t in batch.column(2):
                 h = shingles(t.as_py(), hashes)
                 sizes.append(len(h))
                 nodes.append(np.uint64(xxhash.xxh3_64_intdigest(h.tobytes())).astype(np.int64) if len(h) else None)
-                firsts.append(ordered(h, levels)[: prefix(len(h))] if len(h) else h)
-            offsets = np.concatenate(([0], np.cumsum([len(f) for f in firsts]))).astype(np.int32)
-            values = np.concatenate(firsts).astype(np.int64) if firsts else np.zeros(0, np.int64)
+                firsts.append(ordered(h, levels)[: prefix(len(h))].astype(np.int64) if len(h) else h.astype(np.int64))
+                bits.append(parity(h))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=[key, "x", "n", "node", "prefix"])
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), _lists(firsts), _lists(bits)],
+                names=[key, "x", "n", "node", "prefix", "bits"])
 
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(f"`{key}`"), _text_hash(text), F.col(f"`{text}`").cast("binary"))
-    return arrow_map(own, of, f"`{key}` {kind}, x long, n int, node long, prefix array<long>")
+    return arrow_map(own, of, f"`{key}` {kind}, x long, n int, node long, prefix array<long>, bits array<long>")
+
+
+def _lists(values: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """For each value of the low bits whether it is that of an odd number of shingles; two to four bits
+    a shingle, whole words. Bits in which two sets differ are never more than shingles only one of them has."""
+    size = max(64, 1 << max(2 * len(h) - 1, 1).bit_length())
+    odd = np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def _text_hash(text: str) -> Column:
@@ -191,10 +204,30 @@ def _small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL_ROWS else df
 
 
-def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b) of the kept `pairs` (a, na, b, nb) that are similar enough: overlaps are counted in
-    each fragment of the order, then summed."""
+def differing(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """The kept `pairs` whose parity bits (node, bits) do not differ in too many places."""
+    a = bits.toDF("a", "mine")
+    b = bits.toDF("b", "others")
+    both = pairs.join(a, "a").join(b, "b")
+
+    def folded(one: str, other: str) -> Column:
+        # Of two sizes the larger is folded upon the smaller; they differ by one doubling at most.
+        half = F.size(other)
+        halves = F.zip_with(F.slice(one, F.lit(1), half), F.slice(one, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(one) > half, halves).otherwise(F.col(one))
+
+    differ = F.zip_with(folded("mine", "others"), folded("others", "mine"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    total = F.aggregate(differ, F.lit(0), lambda x, y: x + y)
+    few = total * (100 + SHARE) <= (100 - SHARE) * (F.col("na") + F.col("nb"))
+    return both.filter(few).select("a", "na", "b", "nb")
+
+
+def linked(pairs: DataFrame, bits: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(a, b) of the kept `pairs` that are similar enough: overlaps are counted in each fragment of
+    the order, then summed. `read` gives the fragments of the classes in a table (node)."""
+    pairs = keep(differing(pairs, bits), "near-pairs")
     count = pairs.count()
+    parts = keep(read(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "fragments")
     one = parts.join(_small(pairs.select("a", "b"), count), F.col("a") == F.col("node")).select("a", "b", "v", F.col("numbers").alias("mine"))
     partners = pairs.groupBy("b").agg(F.first("nb").alias("nb"))
     size = partners.agg(F.sum("nb"), F.count("b")).first()
@@ -212,11 +245,38 @@ def _similar_sizes(one: str, other: str) -> Column:
     return F.least(F.col(one), F.col(other)) * 100 >= F.greatest(F.col(one), F.col(other)) * SHARE
 
 
-def meetings(classes: DataFrame) -> DataFrame:
-    """(token, node, n, pos): the postings of prefix numbers in which at least two classes meet."""
-    postings = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("token")
-    return postings.join(shared, "token").select("token", "node", "n", "pos")
+def meetings(rows: DataFrame) -> DataFrame:
+    """(token, node, n, pos): the postings of prefix numbers in which at least two classes meet.
+
+    Postings are dealt by number and sorted, and each is compared with its neighbours only; repeated
+    ones of a class count once.
+    """
+    postings = rows.select("node", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "node", "n", "pos")
+    return arrow_map(
+        postings.repartition("token").sortWithinPartitions("token", "node"), shared, "token long, node long, n int, pos int")
+
+
+def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted postings those whose number another class has, one per class."""
+    held, given = None, True  # the last posting, and whether it has been given out
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(([h], c)) for h, c in zip(held, columns, strict=True)]
+        token, node = columns[:2]
+        if not len(token):
+            continue
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+        columns = [c[new] for c in columns]
+        token = columns[0]
+        same = token[1:] == token[:-1]
+        keeps = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        if held is not None and given:
+            keeps[0] = False
+        given_last = bool(keeps[-1]) or held is not None and given and len(token) == 1
+        held, given = [c[-1] for c in columns], given_last
+        yield pa.RecordBatch.from_arrays([pa.array(c[keeps], f.type) for c, f in zip(columns, batch.schema, strict=True)], schema=batch.schema)
 
 
 def _placed(met: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -228,7 +288,7 @@ def _placed(met: DataFrame, groups: DataFrame | None) -> DataFrame:
         "token", "node", "n", "pos", F.coalesce("component", "node").alias("comp"))
 
 
-def component_links(met: DataFrame, parts: DataFrame) -> DataFrame | None:
+def component_links(met: DataFrame, bits: DataFrame, read: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """Links (a, b) whose components are those of all linked pairs of classes; None without any."""
     postings = met.count()
     central = met.groupBy("node").agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
@@ -257,7 +317,7 @@ def component_links(met: DataFrame, parts: DataFrame) -> DataFrame | None:
             picked = rows.join(open_, "token").select("node", "n", pick.alias("p")).select("node", "n", "p", F.col("p.n").alias("np"))
             picked = picked.filter(_similar_sizes("n", "np")).groupBy("node", "n").agg(F.min("p").alias("p"))
             pairs = picked.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("p.node").alias("b"), F.col("p.n").alias("nb"))
-        links = keep(linked(keep(pairs, "pairs"), parts), "links")
+        links = keep(linked(keep(pairs, "pairs"), bits, read), "links")
         some = not links.isEmpty()
         if some:
             found.append(links)
@@ -304,16 +364,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     levels = frequency_levels(docs, text)
     rows = keep(sets(docs, levels, text, key), "sets")
     own = F.struct(F.col(f"`{key}`").isNull().alias("unknown"), F.col(f"`{key}`").alias("key"), "x")
-    classes = rows.filter("n > 0").groupBy("node").agg(F.min(own).alias("head"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    classes = keep(classes.select("node", "n", F.col("head.key").alias("head"), F.col("head.x").alias("x"), "prefix"), "classes")
-    met = keep(meetings(classes), "meetings")
-    rows = keep(rows.drop("prefix"), "rows")
-    classes = keep(classes.drop("prefix"), "heads")
+    heads = rows.filter("n > 0").groupBy("node").agg(F.min(own).alias("head"))
+    classes = keep(heads.select("node", F.col("head.key").alias("head"), "head.x"), "heads")
+    small = _small(classes.toDF("node", "head", "y"))
+    of_heads = rows.join(small, (rows["node"] == small["node"]) & rows[key].eqNullSafe(small["head"]) & (rows["x"] == small["y"]), "left_semi")
+    met = keep(meetings(of_heads), "meetings")
+    bits = met.select("node").distinct().join(of_heads.select("node", "bits").dropDuplicates(["node"]), "node")
+    bits = keep(bits, "bits")
     release(docs.sparkSession)
-    nodes = keep(met.select("node").distinct(), "nodes")
-    heads = keep(classes.select("node", "head", "x").join(_small(nodes), "node"), "heads")
-    parts = keep(fragments(docs, heads, levels, text, key), "fragments")
-    links = component_links(met, parts)
+
+    def read(nodes: DataFrame) -> DataFrame:
+        return fragments(docs, keep(classes.join(_small(nodes), "node"), "to-read"), levels, text, key)
+
+    links = component_links(met, bits, read)
     named = classes.select("node", "head")
     if links is None:
         named = named.withColumn("comp", F.col("node"))

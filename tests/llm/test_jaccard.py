@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,32 @@ def test_odd_rows(spark):
     assert found(df) == plain([r[:2] for r in rows])
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
     assert found(df.select("doc_id", F.lit(None).cast("string").alias("text"))) == plain([(r[0], None) for r in rows])
+
+
+def test_shared_postings_across_batches():
+    """Neighbours meet over the borders of batches; repeated postings of a class are one."""
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(60), rng.randrange(4), 10, 1) for _ in range(200)) + [(99, 1, 10, 1)] * 7
+    classes = {}
+    for token, node, _, _ in rows:
+        classes.setdefault(token, set()).add(node)
+    want = sorted({r for r in rows if len(classes[r[0]]) > 1})
+    schema = pa.schema([("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    for size in (1, 2, 3, 7, 500):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*p), schema)], schema=schema) for p in parts]
+        got = [tuple(r.values()) for b in jaccard.shared(iter(batches)) for r in b.to_pylist()]
+        assert sorted(got) == want and len(got) == len(want)
+
+
+def test_parity_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 31, 32, 33, 200, 1000):
+        a = np.unique(rng.integers(0, 2**60, n).astype(np.uint64))
+        for m in (1, n // 4 + 1, n):
+            b = np.unique(np.concatenate([a[m:], rng.integers(0, 2**60, m).astype(np.uint64)]))
+            x, y = jaccard.parity(a), jaccard.parity(b)
+            if len(x) == len(y):
+                differ = int(np.unpackbits((x ^ y).view(np.uint8)).sum())
+                assert differ <= len(np.setxor1d(a, b))
+        assert len(jaccard.parity(a)) * 64 >= 2 * len(a)
