@@ -33,11 +33,12 @@ SCALE = 2_000_000
 #: Capacity of a summary in units of mass / least: the loss of a counter is below least / SLACK.
 SLACK = 4
 #: Tokens that one step counts at once, words that a task remembers, phrases that it holds.
-CHUNK, VOCABULARY, HELD = 300_000, 300_000, 300_000
+CHUNK, VOCABULARY, HELD = 300_000, 300_000, 500_000
 #: Bytes of text a hash partition is made for, and bounds of the two powers of two.
 PARTITION_BYTES, MOST_PARTITION_BITS, MOST_MAP_BITS = 8_000_000, 18, 29
 _PIECES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -117,6 +118,21 @@ def _languages(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(f"`{text}`").cast("binary"), F.coalesce(F.col(f"`{lang}`").cast("string"), F.lit("und")).cast("binary"))
 
 
+def packed(data: bytes | np.ndarray) -> bytes:
+    """Compressed bytes, of an array plane by plane; the size stands in front."""
+    if isinstance(data, np.ndarray):
+        data = data.view(np.uint8).reshape(len(data), data.itemsize).T.tobytes()
+    return len(data).to_bytes(8, "little") + _CODEC.compress(data, asbytes=True)
+
+
+def unpacked(data: bytes, kind: type | None = None) -> bytes | np.ndarray:
+    raw = _CODEC.decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    if kind is None:
+        return raw
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Counters of several summaries together, by key."""
     key, count = np.concatenate(keys), np.concatenate(counts)
@@ -174,7 +190,9 @@ def survivors(docs: DataFrame, least: int, text: str, lang: str) -> np.ndarray:
             mass[some] += np.add.reduceat(n, first) if len(part) else 0
             key, n = code.astype(np.uint32), np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
             spans = list(zip(first.tolist(), ends, strict=True))
-            yield _rows(some, [1] * len(some), [0] * len(some), [key[s:e].tobytes() for s, e in spans], [n[s:e].tobytes() for s, e in spans])
+            # ascending keys go as differences
+            steps = [packed(np.diff(key[s:e], prepend=np.uint32(0))) for s, e in spans]
+            yield _rows(some, [1] * len(some), [0] * len(some), steps, [packed(n[s:e]) for s, e in spans])
         some = np.flatnonzero(mass)
         yield _rows(some, [0] * len(some), mass[some], [b""] * len(some), [b""] * len(some))
 
@@ -198,7 +216,7 @@ def survivors(docs: DataFrame, least: int, text: str, lang: str) -> np.ndarray:
                     continue
                 if summary is None:
                     summary = Summary(SLACK * mass // least + 1)
-                summary.merge(np.frombuffer(keys.as_py(), np.uint32), np.frombuffer(counts.as_py(), np.uint32))
+                summary.merge(np.cumsum(unpacked(keys.as_py(), np.uint32), dtype=np.uint32), unpacked(counts.as_py(), np.uint32))
         if summary is not None:
             yield marked()
 
@@ -267,8 +285,8 @@ def counted(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
                 if p.as_py() != part:
                     yield _frequent(total, least)
                     part, total = p.as_py(), defaultdict(int)
-                at, data = 0, data.as_py()
-                for size, n in zip(np.frombuffer(sizes.as_py(), np.uint32).tolist(), np.frombuffer(counts.as_py(), np.int64).tolist(), strict=True):
+                at, data = 0, unpacked(data.as_py())
+                for size, n in zip(unpacked(sizes.as_py(), np.uint32).tolist(), unpacked(counts.as_py(), np.int64).tolist(), strict=True):
                     total[data[at : at + size]] += n
                     at += size
         yield _frequent(total, least)
@@ -280,20 +298,18 @@ def counted(docs: DataFrame, least: int = LEAST, text: str = "text", lang: str =
 
 
 def _packed(held: dict[bytes, int], parts: int) -> pa.RecordBatch:
-    """One row per part: keys (language, line end, phrase) one after another, their sizes and counts."""
-    keys = list(held)
-    part = np.array([xxhash.xxh64_intdigest(k) % parts for k in keys], np.int64)
-    order = np.argsort(part, kind="stable")
-    sizes = np.array([len(k) for k in keys], np.uint32)[order]
-    counts = np.fromiter(held.values(), np.int64, len(keys))[order]
-    some, first = np.unique(part[order], return_index=True)
-    spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)) if len(some) else []
-    order = order.tolist()
-    arrays = [pa.array(some, pa.int32())] + [
-        pa.array(x, pa.binary()) for x in (
-            [sizes[s:e].tobytes() for s, e in spans],
-            [b"".join([keys[i] for i in order[s:e]]) for s, e in spans],
-            [counts[s:e].tobytes() for s, e in spans])]
+    """One row per part: its keys (language, line end, phrase) in order, their sizes and counts."""
+    of: dict[int, list[bytes]] = defaultdict(list)
+    for key in held:
+        of[xxhash.xxh64_intdigest(key) % parts].append(key)
+    for keys in of.values():
+        keys.sort()  # neighbours begin alike, which packs well
+    arrays = [
+        pa.array(list(of), pa.int32()),
+        pa.array([packed(np.array([len(k) for k in keys], np.uint32)) for keys in of.values()], pa.binary()),
+        pa.array([packed(b"".join(keys)) for keys in of.values()], pa.binary()),
+        pa.array([packed(np.array([held[k] for k in keys], np.int64)) for keys in of.values()], pa.binary()),
+    ]
     return pa.RecordBatch.from_arrays(arrays, names=["part", "sizes", "data", "counts"])
 
 
