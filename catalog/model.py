@@ -4,6 +4,8 @@ The models learn a planted severity, a rule over two columns of the feature tabl
 they must predict for every test row is known and SQL can say it.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from catalog.relations import clean, repaired
@@ -14,8 +16,9 @@ from hazardframe.operators import model as L
 from hazardframe.operators.clean import repair_rows
 from hazardframe.operators.impute import fill_constant, fill_floor
 from hazardframe.operators.split import class_weights, stratified_folds, stratified_split
-from hazardframe.plans.training import train_models
+from hazardframe.plans.training import save_bundle, score_rows, train_models
 from hazardframe.roles import SEVERITY_ORDER
+from hazardframe.session import shared_dir
 from hazardframe.sources.testbed import TIE_KEY, incidents
 
 COLUMNS = [
@@ -23,9 +26,6 @@ COLUMNS = [
     "vitesse_estimee", "cause", "periode_journaliere", "type_accident", "port_casque",
     "accident_fete", "gravite",
 ]
-#: Rounds of the registered boosted query; each is three trees, and the published 500 take minutes
-#: at any size. Depth, step and sampling are the published ones.
-ROUNDS = 40
 
 
 def labelled(spark, sf_dir):
@@ -134,17 +134,59 @@ def cross_validation(spark, sf_dir):
 
 
 def model_comparison(spark, sf_dir):
-    return train_models(trainable(spark, sf_dir), leak_free=True)["comparison"]
+    """Test and cross-validation scores of the four models, to three digits."""
+    table = train_models(trainable(spark, sf_dir), leak_free=True)["comparison"]
+    return table.select("model_name", *[F.round(c, 3).alias(c) for c in table.columns if c != "model_name"])
 
 
 def search_results(spark, sf_dir):
+    """Per rung of the search: the settings that came so far, their rounds, and the best score they reached."""
     rows = L.search(_train(spark, sf_dir), KEY, L.SEARCH_SPACES["level_wise"], leak_free=True)
-    return spark.createDataFrame(rows)
+    rungs = []
+    for rung in range(max(row["rung"] for row in rows) + 1):
+        far = [row for row in rows if row["rung"] >= rung]
+        rungs.append((rung, len(far), L.FIRST_RUNG * 2**rung, round(max(row["f1_macro"] for row in far), 3)))
+    return spark.createDataFrame(rungs, "rung int, settings int, rounds int, best_f1 double")
 
 
 def learning_curve(spark, sf_dir):
+    """Training rows, scores to two digits and the verdict at eight sizes."""
     rows = L.learning_curve(_train(spark, sf_dir), L.forest(), KEY, leak_free=True)
-    return spark.createDataFrame(rows)
+    table = [(round(r["size"], 6), r["rows"], round(r["train_mean"], 2), round(r["val_mean"], 2), r["overfitting"]) for r in rows]
+    return spark.createDataFrame(table, "size double, rows long, train_f1 double, val_f1 double, overfitting boolean")
+
+
+def forest_values(spark, sf_dir):
+    """Each test row's class as its Shapley values tell it: the largest sum of base and values."""
+    train, test = parted(spark, sf_dir)
+    model, _ = L.fit(L.prepare(train, leak_free=True).persist(), L.forest(), leak_free=True)
+    values = L.tree_values(model, test, KEY)
+    total = F.col("base") + F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return values.groupBy("accident_id").agg(F.max_by("class", F.struct(F.round(total, 9), -F.col("class"))).alias("classe_num"))
+
+
+def boosted_values(spark, sf_dir):
+    """As `forest_values`, from margins of boosted trees."""
+    train, test = parted(spark, sf_dir)
+    model, _ = L.fit(L.prepare(train, leak_free=True).persist(), L.boosted(), leak_free=True)
+    values = L.tree_values(model, test, KEY)
+    total = F.col("base") + F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return values.groupBy("accident_id").agg(F.max_by("class", F.struct(F.round(total, 9), -F.col("class"))).alias("classe_num"))
+
+
+def stored_model_scores(spark, sf_dir):
+    """Test rows, half of them moved to a place no training row knows, scored by a model read back
+    from its stored bundle."""
+    parts = stratified_split(trainable(spark, sf_dir), L.LABEL, KEY)
+    train, test = (parts.where(F.col("part") == p).drop("part") for p in ("train", "test"))
+    rates = X.refit_places(train)
+    train = L.prepare(X.with_places(train, rates), leak_free=True).persist()
+    model, _ = L.fit(train, L.logistic(train.count()), leak_free=True)
+    path = f"{shared_dir(spark).rstrip('/')}/bundle-{uuid.uuid4().hex}"
+    save_bundle(spark, path, {"logistic": model}, rates, {"best_model": "logistic"})
+    away = {c: F.when(F.col("accident_id") % 2 == 0, "elsewhere").otherwise(F.col(c)) for c in ("region", "ville", "axe_routier")}
+    scored = score_rows(test.withColumns(away).drop(L.LABEL, "gravite"), path)
+    return scored.select("accident_id", "gravite_predite", "classe_num")
 
 
 QUERIES = {
@@ -157,11 +199,14 @@ QUERIES = {
     "place_rates_of_train": place_rates_of_train,
     "logistic_scores": _scored(lambda train: L.logistic(train.count())),
     "forest_scores": _scored(lambda train: L.forest()),
-    "boosted_scores": _scored(lambda train: L.boosted(maxIter=ROUNDS)),
+    "boosted_scores": _scored(lambda train: L.boosted()),
     "forest_importance": forest_importance,
     "logistic_attribution": logistic_attribution,
     "cross_validation": cross_validation,
     "model_comparison": model_comparison,
     "search_results": search_results,
     "learning_curve": learning_curve,
+    "forest_values": forest_values,
+    "boosted_values": boosted_values,
+    "stored_model_scores": stored_model_scores,
 }

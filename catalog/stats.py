@@ -49,6 +49,9 @@ QUERIES = {
         lambda df: S.kernel_density(_with_excess(df), "gravite", "exces_vitesse"),
         "gravite vitesse_estimee limitation_vitesse",
     ),
+    "cost_density_by_severity_and_road": on_repaired(
+        S.grid_density, "gravite type_route cout_estime", keys=["gravite", "type_route"], value="cout_estime"
+    ),
     "extremes": on_repaired(S.extremes, "heure cause region gravite"),
     "relative_risk": on_repaired(
         lambda df: S.relative_risk(df, S.exposures()),

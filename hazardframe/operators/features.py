@@ -5,7 +5,7 @@ All but the geographic ones are row-local projections. Flags count an unknown as
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -212,6 +212,39 @@ def with_places(df: DataFrame, rates: DataFrame | None, r: Roles = INCIDENT) ->
     return place_features(df.drop(*PLACE_FEATURES), rates, r).select(*df.columns)
 
 
+def subset_places(df: DataFrame, subsets: Mapping[str, Column], r: Roles = INCIDENT) -> DataFrame:
+    """For every named subset of the rows, the place features fitted on it alone, as columns
+    ``feature@name``: what ``place_features`` gives with rates of that subset.
+
+    All subsets come from one aggregation and one join per place, however many there are.
+    """
+    fatal, known = (F.col(r.severity) == FATAL).cast("int"), F.col(r.id).isNotNull().cast("int")
+    inside = {name: F.coalesce(test, F.lit(False)) for name, test in subsets.items()}
+    flags = df.select(
+        r.region, r.town, r.road, fatal.alias("_fatal"), known.alias("_known"),
+        *[test.alias(f"_in{i}") for i, test in enumerate(inside.values())])
+    places = {c: F.col(c) for c in (r.region, r.town, r.road)} | {WHOLE: F.lit("")}
+    at = F.explode(F.array(*[F.struct(F.lit(c).alias("place"), v.alias("value")) for c, v in places.items()]))
+    sums = []
+    for i in range(len(inside)):
+        test = F.col(f"_in{i}")
+        sums.append(F.try_divide(F.sum(F.when(test, F.col("_fatal"))), F.count_if(test)).alias(f"share{i}"))
+        sums.append(F.coalesce(F.sum(F.when(test, F.col("_known"))), F.lit(0)).alias(f"incidents{i}"))
+    rows = flags.select(at.alias("at"), "*").where(F.col("at.value").isNotNull())
+    table = materialise(rows.groupBy("at.place", "at.value").agg(*sums))
+    sizes = {row["place"]: row["n"] for row in table.groupBy("place").agg(F.count(F.lit(1)).alias("n")).collect()}
+    whole = table.where(F.col("place") == WHOLE).first()
+    for column, source, feature in (
+        (r.region, "share", "taux_mortalite_region"), (r.town, "share", "taux_mortalite_ville"), (r.road, "incidents", "nb_accidents_axe")
+    ):
+        names = {f"{source}{i}": f"{feature}@{name}" for i, name in enumerate(inside)}
+        known_ = table.where(F.col("place") == column).select("value", *[F.col(s).alias(n) for s, n in names.items()])
+        df = lookup(df, known_, [column], list(names.values()), ["value"], rows=sizes.get(column, 0))
+        unseen = {n: F.lit(whole[s] if whole else None).cast("double") if source == "share" else F.lit(0) for s, n in names.items()}
+        df = df.withColumns({n: F.coalesce(F.col(f"`{n}`"), u) for n, u in unseen.items()})
+    return df.withColumns({f"log_nb_accidents_axe@{name}": F.log1p(F.col(f"`nb_accidents_axe@{name}`")) for name in inside})
+
+
 def encode_binary(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
     """Yes/no columns as 1/0, unknown as 0."""
     return df.withColumns({c: flag(F.col(c) == YES) for c in (r.helmet, r.belt, r.holiday) if c in df.columns})

@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark.ml import Pipeline, PipelineModel
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    OneVsRest,
-    OneVsRestModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import (
     OneHotEncoder,
     StandardScaler,
@@ -25,17 +24,24 @@ from pyspark.ml.feature import (
     VectorSlicer,
 )
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.param import Param, Params
 from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hazardframe.functions.joins import forget, forget_path, store
 from hazardframe.functions.scalar import HASH_SIZE, row_hash
+from hazardframe.functions.workers import ship
+from hazardframe.operators import boost, trees
 from hazardframe.operators import metrics as M
-from hazardframe.operators.features import refit_places, with_places
+from hazardframe.operators.features import PLACE_FEATURES, refit_places, subset_places, with_places
 from hazardframe.operators.quality import numeric_columns
 from hazardframe.operators.split import add_class_weight, stratified_folds
 from hazardframe.roles import INCIDENT, SEVERITIES, Roles
+from hazardframe.session import shared_dir
 
 LABEL = INCIDENT.severity_rank
 
@@ -46,24 +52,33 @@ LABEL = INCIDENT.severity_rank
 SEED = 42
 FOREST = {"numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 5}
 BOOSTED = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+BOOSTED_WEIGHTED = {
+    "maxIter": 500, "stepSize": 0.05, "maxDepth": 0, "maxLeaves": 63, "minInstancesPerNode": 20, "regLambda": 0.0,
+    "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
+}
 # name: (low, high, step); step "log" draws log-uniformly, None uniformly, a number on a grid
 SEARCH_SPACES = {
     "level_wise": {
         "maxIter": (200, 1000, 100),
         "stepSize": (0.01, 0.2, "log"),
         "maxDepth": (3, 10, 1),
-        "minInstancesPerNode": (1, 20, 1),
+        "minChildWeight": (1, 20, 1),
         "subsamplingRate": (0.5, 1.0, None),
         "featureSubsetStrategy": (0.5, 1.0, None),
         "minInfoGain": (0.0, 5.0, None),
+        "regAlpha": (1e-8, 10.0, "log"),
+        "regLambda": (1e-8, 10.0, "log"),
     },
     "weighted": {
         "maxIter": (200, 1000, 100),
         "stepSize": (0.01, 0.2, "log"),
+        "maxLeaves": (20, 150, 1),
         "maxDepth": (3, 12, 1),
         "minInstancesPerNode": (10, 100, 1),
         "subsamplingRate": (0.5, 1.0, None),
         "featureSubsetStrategy": (0.5, 1.0, None),
+        "regAlpha": (1e-8, 10.0, "log"),
+        "regLambda": (1e-8, 10.0, "log"),
     },
 }
 
@@ -146,12 +161,76 @@ def forest(**overrides: Any) -> RandomForestClassifier:
     return RandomForestClassifier(labelCol=LABEL, weightCol="weight", seed=SEED, **{**FOREST, **overrides})
 
 
-def boosted(weighted: bool = False, **overrides: Any) -> OneVsRest:
-    """Boosted trees, one class against the rest; optionally with balanced weights."""
-    settings = {**BOOSTED, **overrides}
-    tree = GBTClassifier(labelCol=LABEL, seed=SEED, **settings)
-    one = OneVsRest(classifier=tree, labelCol=LABEL, parallelism=3)
-    return one.setWeightCol("weight") if weighted else one
+class SoftmaxModel(Model, DefaultParamsReadable, DefaultParamsWritable):
+    """Boosted trees over the vector ``features``: adds ``probability`` and ``prediction``."""
+
+    rounds = Param(Params._dummy(), "rounds", "JSON of a list of rounds, each a tree per class")
+
+    def __init__(self, rounds: list | None = None):
+        super().__init__()
+        if rounds is not None:
+            self._set(rounds=json.dumps(rounds, separators=(",", ":")))
+
+    def grown(self) -> list[list[trees.Tree]]:
+        return json.loads(self.getOrDefault("rounds"))
+
+    def featureImportances(self, size: int) -> DenseVector:
+        """Share of each feature in the gains of all splits."""
+        total = np.zeros(size)
+        for tree in (t for one in self.grown() for t in one):
+            for f, gain in zip(tree["feature"], tree["gain"]):
+                if f >= 0:
+                    total[f] += gain
+        return DenseVector(total / total.sum() if total.any() else total)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        ship(dataset.sparkSession)
+        rounds = self.grown()
+
+        @F.pandas_udf("array<double>")
+        def probabilities(x: pd.Series) -> pd.Series:
+            rows = np.stack(x.to_numpy()) if len(x) else np.zeros((0, 1))
+            margin = np.zeros((boost.CLASSES, len(rows)))
+            for one in rounds:
+                for c, tree in enumerate(one):
+                    margin[c] += trees.values_of(tree, rows)
+            e = np.exp(margin - margin.max(axis=0))
+            return pd.Series(list((e / e.sum(axis=0)).T))
+
+        out = dataset.withColumn("_p", probabilities(vector_to_array("features")))
+        best = F.array_position("_p", F.array_max("_p")) - 1
+        return out.withColumns({"probability": array_to_vector("_p"), "prediction": best.cast("double")}).drop("_p")
+
+
+class SoftmaxBoosting(Estimator):
+    """Softmax boosting on ``features`` and ``LABEL``; rows are sampled by a hash of their values."""
+
+    def __init__(self, **settings: Any):
+        super().__init__()
+        self.settings = settings
+
+    def _fit(self, dataset: DataFrame) -> SoftmaxModel:
+        values = F.xxhash64(vector_to_array("features"), F.lit(SEED))
+        weight = "weight" if "weight" in dataset.columns else None
+        blocks = boost.make_blocks(dataset, [], LABEL, F.pmod(values, F.lit(HASH_SIZE)), weight, seed=SEED)
+        task = boost.Task(self.settings, list(range(len(blocks.cuts))))
+        boost.grow(blocks, [task])
+        forget(blocks.table)
+        return SoftmaxModel(boost.with_cuts(task, blocks.cuts))
+
+
+def boosted_settings(weighted: bool = False, **overrides: Any) -> dict[str, Any]:
+    """The published settings, level by level or with a limit of leaves and balanced weights."""
+    return {**(BOOSTED_WEIGHTED if weighted else BOOSTED), "weighted": weighted, **overrides}
+
+
+def boosted(weighted: bool = False, **overrides: Any) -> SoftmaxBoosting:
+    """Boosted trees of all classes; optionally with balanced weights.
+
+    ``maxIter`` is a limit: a tenth of the rows measures the loss, and growing ends when that has
+    not fallen by ``tolerance`` over ``patience`` rounds.
+    """
+    return SoftmaxBoosting(**boosted_settings(weighted, **overrides))
 
 
 def pipeline(train: DataFrame, classifier: Estimator, leak_free: bool = False) -> tuple[Pipeline, list[str]]:
@@ -160,28 +239,15 @@ def pipeline(train: DataFrame, classifier: Estimator, leak_free: bool = False) -
     return Pipeline(stages=[*stages, classifier]), names
 
 
-def with_scores(scored: DataFrame, one_vs_rest: bool) -> DataFrame:
-    """Class probabilities p0, p1, p2 from a model's output.
-
-    One-against-rest models give margins only: these go through the logistic link of the
-    boosted loss and are scaled to sum to one.
-    """
-    if one_vs_rest:
-        odds = F.transform(
-            vector_to_array("rawPrediction"), lambda m: 1 / (1 + F.exp(-2 * m))
-        )
-        whole = F.aggregate("_p", F.lit(0.0), lambda a, x: a + x)
-        scored = scored.withColumn("_p", odds)
-        scored = scored.withColumn("_p", F.transform("_p", lambda x: x / whole))
-    else:
-        scored = scored.withColumn("_p", vector_to_array("probability"))
+def with_scores(scored: DataFrame) -> DataFrame:
+    """Class probabilities p0, p1, p2 from a model's output."""
+    scored = scored.withColumn("_p", vector_to_array("probability"))
     return scored.withColumns({f"p{i}": F.col("_p")[i] for i in range(3)}).drop("_p")
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Rows with ``prediction`` (int), probabilities p0..p2 and, if known, ``label``."""
-    last = model.stages[-1]
-    out = with_scores(model.transform(df), isinstance(last, OneVsRestModel))
+    out = with_scores(model.transform(df))
     out = out.withColumn("prediction", F.col("prediction").cast("int"))
     if LABEL in out.columns:
         out = out.withColumn("label", F.col(LABEL).cast("int"))
@@ -264,6 +330,33 @@ def draw(space: Mapping[str, tuple], rng: random.Random) -> dict[str, Any]:
     return setting
 
 
+def folded_blocks(
+    train: DataFrame, keys: Sequence[str], folds: int, leak_free: bool
+) -> tuple[boost.Blocks, list, list[str], list[list[int]]]:
+    """Binned training rows with their folds, the fitted preparation, its feature names and, for each
+    fold and last for all rows, the columns that a model may use: with ``leak_free`` each fold has
+    place features fitted on the other folds."""
+    numeric, texts = feature_lists(train, leak_free)
+    stages, names = preprocessor(numeric, category_labels(train, texts))
+    prepared = Pipeline(stages=stages).fit(train)
+    rows = prepared.transform(stratified_folds(train, LABEL, keys, folds, SEED) if folds else train.withColumn("fold", F.lit(-1)))
+    own = list(range(len(names)))
+    columns, extra = [own] * folds, []
+    if leak_free and folds and {*PLACE_FEATURES, INCIDENT.region, INCIDENT.town, INCIDENT.road, INCIDENT.severity, INCIDENT.id} <= set(train.columns):
+        rows = subset_places(rows, {str(i): F.col("fold") != i for i in range(folds)})
+        rest = [i for i in own if names[i] not in PLACE_FEATURES]
+        for i in range(folds):
+            columns[i] = rest + [len(names) + len(extra) + j for j in range(len(PLACE_FEATURES))]
+            extra += [f"{c}@{i}" for c in PLACE_FEATURES]
+    weight = "weight" if "weight" in rows.columns else None
+    blocks = boost.make_blocks(rows, extra, LABEL, row_hash(keys, SEED + 1), weight, "fold", SEED)
+    return blocks, prepared.stages, names, [*columns, own]
+
+
+#: Rounds of the first rung of a search; each rung has twice as many in all.
+FIRST_RUNG = 5
+
+
 def search(
     train: DataFrame,
     keys: Sequence[str],
@@ -271,37 +364,55 @@ def search(
     trials: int = 30,
     folds: int = 5,
     weighted: bool = False,
-    parallelism: int = 2,
     leak_free: bool = False,
 ) -> list[dict[str, Any]]:
-    """Random search by cross-validated macro F1, best setting first.
+    """Random search by cross-validated macro F1 and successive halving, best setting first.
 
-    Every fold is prepared once and serves all settings, of which ``parallelism`` are fitted at
-    a time. Nothing is fitted on all rows: that is left to the caller's choice of a setting.
+    All settings and folds grow side by side from the same binned rows. After 5, 10, 20 ... rounds the
+    better half (macro F1 over the folds, then the smaller validation loss) goes on from
+    where it is; the last one grows until its loss no longer falls or to its ``maxIter``. A row has the
+    setting's scores and ``rounds`` (mean over the folds) at its last ``rung``.
     """
     rng = random.Random(SEED)
     settings = [draw(space, rng) for _ in range(trials)]
-    scores: list[list[float]] = [[] for _ in settings]
-    folded = stratified_folds(train, LABEL, keys, folds, SEED).persist()
-    try:
-        for i in range(folds):
-            rest, held = (part.persist() for part in apart(folded, i, leak_free))
-
-            def f1(setting: dict[str, Any], rest: DataFrame = rest, held: DataFrame = held) -> float:
-                model, _ = fit(rest, boosted(weighted, **setting), leak_free)
-                return M.macro_scores(score(model, held).select("label", "prediction")).first()["f1_macro"]
-
-            with ThreadPool(parallelism) as pool:
-                for of_setting, value in zip(scores, pool.map(f1, settings)):
-                    of_setting.append(value)
-            rest.unpersist(), held.unpersist()
-    finally:
-        folded.unpersist()
-    results = []
-    for setting, values in zip(settings, scores):
-        mean, std = mean_std(values)
-        results.append({"f1_macro": mean, "f1_std": std, **setting})
-    return sorted(results, key=lambda row: -row["f1_macro"])
+    blocks, _, _, columns = folded_blocks(train, keys, folds, leak_free)
+    tasks = [[boost.Task({**setting, "weighted": weighted}, columns[i], i) for i in range(folds)] for setting in settings]
+    results: dict[int, dict[str, Any]] = {}
+    alive, rung, grown = list(range(trials)), 0, FIRST_RUNG
+    while True:
+        last = len(alive) == 1
+        boost.grow(blocks, [t for i in alive for t in tasks[i]], None if last else grown)
+        for i in alive:
+            mean, std = mean_std(boost.f1_macro(t.held) for t in tasks[i])
+            loss = sum(t.losses[-1] for t in tasks[i]) / folds
+            rounds = sum(len(t.rounds) for t in tasks[i]) / folds
+            results[i] = {"f1_macro": mean, "f1_std": std, "loss": loss, "rung": rung, "rounds": rounds, **settings[i]}
+        if last:
+            break
+        order = sorted(alive, key=lambda i: (-results[i]["f1_macro"], results[i]["loss"], i))
+        alive = order[: (len(order) + 1) // 2]
+        grown = FIRST_RUNG * 2**rung  # as many again as so far
+        rung += 1
+    forget(blocks.table)
+    return sorted(results.values(), key=lambda row: (-row["rung"], -row["f1_macro"], row["loss"]))
+
+
+def draws_only(found: Mapping[str, Any]) -> dict[str, Any]:
+    """The setting of a row of ``search``."""
+    return {k: v for k, v in found.items() if k not in ("f1_macro", "f1_std", "loss", "rung", "rounds")}
+
+
+def fit_boosted(
+    train: DataFrame, settings: Sequence[Mapping[str, Any]], keys: Sequence[str], folds: int = 5, leak_free: bool = False
+) -> tuple[list[PipelineModel], list[str], list[list[float]]]:
+    """A model of all rows for each setting, the feature names, and each setting's macro F1 by fold:
+    all of them grown side by side."""
+    blocks, stages, names, columns = folded_blocks(train, keys, folds, leak_free)
+    tasks = [[boost.Task(s, columns[i], i if i < folds else -1) for i in range(folds + 1)] for s in settings]
+    boost.grow(blocks, [t for of in tasks for t in of])
+    forget(blocks.table)
+    models = [PipelineModel([*stages, SoftmaxModel(boost.with_cuts(of[-1], blocks.cuts))]) for of in tasks]
+    return models, names, [[boost.f1_macro(t.held) for t in of[:-1]] for of in tasks]
 
 
 def learning_curve(
@@ -311,39 +422,51 @@ def learning_curve(
     sizes: Sequence[float] = tuple(0.1 + 0.9 * i / 7 for i in range(8)),
     folds: int = 3,
     leak_free: bool = False,
+    parallelism: int = 8,
 ) -> list[dict[str, Any]]:
     """Train and validation macro F1 at growing training sizes; a final gap above 0.1 is overfitting.
 
-    The size is a threshold on a row hash, so each sample contains the smaller ones.
+    The size is a threshold on a row hash, so each sample contains the smaller ones. All samples and
+    folds are fitted side by side, ``parallelism`` at a time; their place features come from one
+    aggregation. ``rows`` counts the training rows of all folds together.
     """
-    folded = stratified_folds(train, LABEL, keys, folds, SEED).persist()
+    folded = stratified_folds(train, LABEL, keys, folds, SEED).withColumn("_luck", row_hash(keys, SEED + 1))
+    cuts = [int(size * HASH_SIZE) for size in sizes]
+    inside = {f"{j}.{i}": (F.col("fold") != i) & (F.col("_luck") < cut) for j, cut in enumerate(cuts) for i in range(folds)}
+    refit = leak_free and {*PLACE_FEATURES, INCIDENT.region, INCIDENT.town, INCIDENT.road, INCIDENT.severity, INCIDENT.id} <= set(train.columns)
+    table = store(subset_places(folded, inside) if refit else folded, "curve")
+
+    def scores(name: str) -> tuple[float, float, int]:
+        held = F.col("fold") == int(name.split(".")[1])
+        own = {c: F.col(f"`{c}@{name}`") for c in PLACE_FEATURES} if refit else {}
+        rows = table.where(inside[name] | held).withColumns({**own, "_held": held})
+        rows = rows.select("_held", *train.columns).persist()
+        try:
+            model, _ = fit(rows.where(~F.col("_held")).drop("_held"), classifier, leak_free)
+            counts = {False: np.zeros((3, 3), int), True: np.zeros((3, 3), int)}
+            for row in score(model, rows).groupBy("_held", "label", "prediction").count().collect():
+                counts[row["_held"]][row["label"], row["prediction"]] = row["count"]
+        finally:
+            rows.unpersist()
+        return boost.f1_macro(counts[False]), boost.f1_macro(counts[True]), int(counts[False].sum())
+
+    with ThreadPool(parallelism) as pool:
+        found = dict(zip(inside, pool.map(scores, inside, chunksize=1)))
+    forget(table)
     curve = []
-    try:
-        for size in sizes:
-            seen, held = [], []
-            for i in range(folds):
-                inside = row_hash(keys, SEED + 1) < F.lit(int(size * HASH_SIZE))
-                part, rest = folded.where((F.col("fold") != i) & inside), folded.where(F.col("fold") == i)
-                rates = refit_places(part) if leak_free else None
-                part, rest = with_places(part, rates), with_places(rest, rates)
-                model, _ = fit(part, classifier, leak_free)
-                for rows, into in ((part, seen), (rest, held)):
-                    pairs = score(model, rows).select("label", "prediction")
-                    into.append(M.macro_scores(pairs).first()["f1_macro"])
-            (tm, ts), (vm, vs) = mean_std(seen), mean_std(held)
-            curve.append({"size": size, "train_mean": tm, "train_std": ts, "val_mean": vm, "val_std": vs,
-                          "gap": tm - vm, "overfitting": tm - vm > 0.1})
-    finally:
-        folded.unpersist()
+    for j, size in enumerate(sizes):
+        of_size = [found[f"{j}.{i}"] for i in range(folds)]
+        (tm, ts), (vm, vs) = (mean_std(x[k] for x in of_size) for k in (0, 1))
+        curve.append({"size": size, "rows": sum(x[2] for x in of_size), "train_mean": tm, "train_std": ts, "val_mean": vm,
+                      "val_std": vs, "gap": tm - vm, "overfitting": tm - vm > 0.1})
     return curve
 
 
 def tree_importance(model: PipelineModel, names: Sequence[str], spark: SparkSession, top: int = 20) -> DataFrame:
-    """Named split importances of a forest or of boosted trees (mean over the classes)."""
+    """Named split importances of a forest or of boosted trees (shares of all gains)."""
     last = model.stages[-1]
-    parts = [m.featureImportances for m in last.models] if isinstance(last, OneVsRestModel) else [last.featureImportances]
-    means = [sum(float(p[i]) for p in parts) / len(parts) for i in range(len(names))]
-    rows = sorted(zip(names, means), key=lambda row: (-row[1], row[0]))[:top]
+    shares = last.featureImportances(len(names)) if isinstance(last, SoftmaxModel) else last.featureImportances
+    rows = sorted(((n, float(shares[i])) for i, n in enumerate(names)), key=lambda row: (-row[1], row[0]))[:top]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
@@ -374,12 +497,11 @@ def ablation_attribution(model: PipelineModel, sample: DataFrame, names: Sequenc
     side in the same row: no id and no join is needed, and only sums per feature are shuffled.
     """
     last = model.stages[-1]
-    one_vs_rest = isinstance(last, OneVsRestModel)
     prepared = PipelineModel(model.stages[:-1]).transform(sample).select("features")
     means = prepared.select(Summarizer.mean(F.col("features")).alias("m")).first()["m"].toArray().tolist()
 
     def scored(rows: DataFrame, out: str) -> DataFrame:
-        got = with_scores(last.transform(rows), one_vs_rest)
+        got = with_scores(last.transform(rows))
         return got.select(*[c for c in rows.columns if c != "features"], F.array("p0", "p1", "p2").alias(out))
 
     base = scored(prepared.withColumn("_x", F.col("features")), "_base")
@@ -398,6 +520,99 @@ def ablation_attribution(model: PipelineModel, sample: DataFrame, names: Sequenc
     )
 
 
+def forest_trees(model: PipelineModel, spark: SparkSession) -> list[trees.Tree]:
+    """The trees of a forest; a leaf's values are its class shares, divided by the number of trees."""
+    path = f"{shared_dir(spark).rstrip('/')}/forest-{uuid.uuid4().hex}"
+    model.stages[-1].write().save(path)
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect()  # the model itself
+    forget_path(spark, path)
+    out: dict[int, dict[int, Any]] = {}
+    for row in rows:
+        out.setdefault(row["treeID"], {})[row["id"]] = row
+    found = []
+    for nodes in out.values():
+        tree: dict[str, list] = {name: [] for name in trees.leaf()}
+        for i in range(len(nodes)):
+            node = nodes[i]
+            stats = np.array(node["impurityStats"])
+            split = node["split"]
+            left, right, cut = node["leftChild"], node["rightChild"], 0.0
+            if left >= 0:
+                cut = split["leftCategoriesOrThreshold"][0]
+                if split["numCategories"] >= 0:  # a flag: one of its two values goes left
+                    if split["numCategories"] != 2:
+                        raise ValueError("splits of more than two categories are not known")
+                    left, right = (left, right) if cut == 0 else (right, left)
+                    cut = 0.5
+            values = (-1 if node["leftChild"] < 0 else split["featureIndex"], cut, max(left, 0), max(right, 0),
+                      (stats / stats.sum() / len(out)).tolist(), max(node["gain"], 0.0), float(node["rawCount"]))
+            for name, value in zip(("feature", "cut", "left", "right", "value", "gain", "cover"), values):
+                tree[name].append(value)
+        found.append(tree)
+    return found
+
+
+def tree_paths(model: PipelineModel, spark: SparkSession) -> list[trees.Path]:
+    """The flat paths of a forest or of boosted trees, with a value per class at each end."""
+    last = model.stages[-1]
+    if isinstance(last, SoftmaxModel):
+        one = np.eye(boost.CLASSES)
+        return [(f, low, high, share, v[0] * one[c])
+                for of in last.grown() for c, tree in enumerate(of) for f, low, high, share, v in trees.paths(tree)]
+    return [path for tree in forest_trees(model, spark) for path in trees.paths(tree)]
+
+
+def _explained(model: PipelineModel, df: DataFrame, keep: Sequence[str], schema: str, make) -> DataFrame:
+    """mapInArrow over (kept columns, feature arrays): ``make(batch, values)`` gets Shapley values."""
+    spark = df.sparkSession
+    ship(spark)
+    paths = tree_paths(model, spark)
+    spread = spark.sparkContext.broadcast(paths)  # as large as the model, which the driver holds
+    rows = PipelineModel(model.stages[:-1]).transform(df).select(*keep, vector_to_array("features").alias("_x"))
+
+    def explain(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                x = part.column(len(keep)).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                yield make(part, trees.shapley(spread.value, x, boost.CLASSES))
+
+    return rows.mapInArrow(explain, schema)
+
+
+def tree_attribution(model: PipelineModel, df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Mean absolute Shapley value of each feature over all rows and classes, for a forest (of
+    probabilities) or boosted trees (of margins). Sums per feature are all that is shuffled."""
+    def total(part, values):
+        sums = np.abs(values).sum(axis=(0, 2))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums), pa.array([part.num_rows * boost.CLASSES] * len(sums), pa.int64())],
+            names=["i", "s", "n"])
+
+    label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("i") + 1)
+    sums = _explained(model, df, [], "i int, s double, n long", total)
+    return (
+        sums.groupBy("i").agg((F.sum("s") / F.sum("n")).alias("contribution"))
+        .select(label.alias("feature"), "contribution").orderBy(F.desc("contribution"), "feature")
+    )
+
+
+def tree_values(model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, class, base, values): per row and class the Shapley value of every feature, in the model's
+    order; they add up to the tree score (probability or margin) less ``base``."""
+    base = trees.expected(tree_paths(model, df.sparkSession))
+    base = [float(b) for b in np.broadcast_to(base, boost.CLASSES)]
+
+    def flat(part, values):
+        per_row = [[row[:, c].tolist() for c in range(boost.CLASSES)] for row in values]
+        return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(per_row, pa.list_(pa.list_(pa.float64())))], names=[*keys, "v"])
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    found = _explained(model, df, keys, f"{kinds}, v array<array<double>>", flat)
+    at = F.element_at(F.array(*[F.lit(b) for b in base]), F.col("class") + 1)
+    return found.select(*keys, F.posexplode("v").alias("class", "values")).select(*keys, "class", at.alias("base"), "values")
+
+
 def compare_models(results: Sequence[Mapping[str, Any]], spark: SparkSession) -> DataFrame:
     """The models with their scores, best macro F1 first. One row per model."""
     fields = ["f1_macro", "balanced_acc", "auc_ovr", "cv_f1_mean", "cv_f1_std"]

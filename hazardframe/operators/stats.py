@@ -9,7 +9,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hazardframe.functions.joins import attach, materialise
+from hazardframe.functions.joins import attach, lookup, materialise
 from hazardframe.functions.ordered import value_counts
 from hazardframe.functions.scalar import col, n_rows, per_100, share, weighted_mean
 from hazardframe.roles import FATAL, INCIDENT, Roles
@@ -141,6 +141,49 @@ def kernel_density(
     )
 
 
+def grid_density(
+    df: DataFrame, keys: Sequence[str], value: Column | str, points: int = 1000, reach: float = 8.0
+) -> DataFrame:
+    """Gaussian density per combination of ``keys``, as in ``kernel_density``, from binned values.
+
+    A value gives its weight to the two grid points around it, in proportion to its distance, so
+    a group becomes at most ``points`` rows whatever its values; a grid point then adds to those within
+    ``reach`` bandwidths. The work after binning is bounded by the grid, and the error is at most
+    about step^2 / (8 h^2) of the largest density. Groups without a spread have no density.
+    """
+    known = df.select(*keys, col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    shape = known.groupBy(*keys).agg(
+        n_rows().alias("_n"), F.stddev("_v").alias("_sd"), F.min("_v").alias("_min"), F.max("_v").alias("_max")
+    )
+    half = (F.col("_max") - F.col("_min")) / 2
+    shape = shape.where("_sd > 0").select(
+        *keys,
+        "_n",
+        (F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))).alias("_h"),
+        (F.col("_min") - half).alias("_from"),
+        (4 * half / F.lit(points - 1)).alias("_step"),
+    )
+    shape = materialise(shape)
+    rows = lookup(value_counts(known, keys, "_v"), shape, keys, ["_n", "_h", "_from", "_step"]).where("_h is not null")
+    place = (F.col("value") - F.col("_from")) / F.col("_step")
+    cell = F.least(F.floor(place), F.lit(points - 2))
+    sides = F.array(
+        F.struct(cell.alias("c"), (F.col("n") * (1 - (place - cell))).alias("w")),
+        F.struct((cell + 1).alias("c"), (F.col("n") * (place - cell)).alias("w")),
+    )
+    binned = rows.select(*keys, F.explode(sides).alias("s")).groupBy(*keys, F.col("s.c").alias("c")).agg(F.sum("s.w").alias("w"))
+    binned = lookup(binned, shape, keys, ["_n", "_h", "_from", "_step"])
+    width = F.ceil(reach * F.col("_h") / F.col("_step"))
+    near = F.sequence(F.greatest(F.col("c") - width, F.lit(0)), F.least(F.col("c") + width, F.lit(points - 1)))
+    terms = binned.select("*", F.explode(near).alias("point"))
+    u = (F.col("point") - F.col("c")) * F.col("_step") / F.col("_h")
+    scale = F.col("_n") * F.col("_h") * F.sqrt(2 * F.pi())
+    return terms.groupBy(*keys, "point").agg(
+        F.round(F.max(F.col("_from") + F.col("point") * F.col("_step")), 6).alias("x"),
+        F.round(F.sum(F.col("w") * F.exp(-0.5 * u * u) / scale), 9).alias("density"),
+    )
+
+
 def extremes(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
     """Deadliest hour, the two deadliest causes and the region with the highest fatal share."""
     fatal = F.col(r.severity) == FATAL

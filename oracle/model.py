@@ -41,8 +41,41 @@ def _share(column, name):
             f"FROM parted WHERE part = 'train' GROUP BY {column})")
 
 
+CLASSES_OF_TEST = on_clean(
+    "SELECT accident_id, CAST(gravite_num AS INTEGER) AS classe_num FROM parted WHERE part = 'test'", PLANTED, RANKED, PARTED
+)
+#: Each statement about models of the planted severity holds where its three classes occur.
+PLANTED_OCCUR = "(SELECT count(DISTINCT gravite_num) FROM hashed) = 3"
+SIZES_OF_CURVE = [0.1 + 0.9 * i / 7 for i in range(8)]
+
+
+def _curve():
+    """Rows of two of three folds below each size's hash; the rule is learned at every size."""
+    below = "(SELECT 2 * count(*) FROM lucky WHERE h < {cut})"
+    rows = (
+        f"SELECT {round(size, 6)}::DOUBLE AS size, {below.format(cut=int(size * 2**52))} AS rows, 1.0::DOUBLE AS train_f1, 1.0::DOUBLE AS val_f1, "
+        f"false AS overfitting WHERE {PLANTED_OCCUR}"
+        for size in SIZES_OF_CURVE
+    )
+    return on_clean(" UNION ALL ".join(rows), PLANTED, f"lucky AS (SELECT {row_hash('accident_id', 43)} AS h FROM clean)")
+
+
 ORACLES = {
     "logistic_scores": PREDICTED,
+    "stored_model_scores": PREDICTED,
+    "forest_values": CLASSES_OF_TEST,
+    "boosted_values": CLASSES_OF_TEST,
+    "model_comparison": on_clean(
+        "SELECT unnest(['logistic', 'forest', 'boosted', 'boosted weighted']) AS model_name, 1.0::DOUBLE AS f1_macro, 1.0::DOUBLE AS balanced_acc, "
+        f"1.0::DOUBLE AS auc_ovr, 1.0::DOUBLE AS cv_f1_mean, 0.0::DOUBLE AS cv_f1_std WHERE {PLANTED_OCCUR}",
+        PLANTED,
+    ),
+    "search_results": on_clean(
+        "SELECT CAST(rung AS INTEGER) AS rung, CAST(ceil(30 / power(2, rung)) AS INTEGER) AS settings, CAST(5 * power(2, rung) AS INTEGER) AS rounds, "
+        f"1.0::DOUBLE AS best_f1 FROM range(6) t(rung) WHERE {PLANTED_OCCUR}",
+        PLANTED,
+    ),
+    "learning_curve": _curve(),
     "forest_scores": PREDICTED,
     "boosted_scores": PREDICTED,
     "cross_validation": on_clean(

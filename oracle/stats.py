@@ -87,7 +87,22 @@ SELECT p.g AS gravite, point, {rnd('any_value(x)', 6)} AS x,
 FROM p JOIN c ON p.g = c.g GROUP BY p.g, point"""
 
 
+#: Values give their weight to the two grid points around them; the kernel runs between grid points.
+GRID_DENSITY = f"""
+, s AS (SELECT gravite AS g, type_route AS t, count(*) AS n, stddev_samp(cout_estime) * count(*) ** -0.2::DOUBLE AS h,
+    min(cout_estime) - (max(cout_estime) - min(cout_estime))::DOUBLE / 2 AS x0, 2 * (max(cout_estime) - min(cout_estime))::DOUBLE / 999 AS step
+  FROM rep WHERE cout_estime IS NOT NULL GROUP BY ALL HAVING stddev_samp(cout_estime) > 0),
+v AS (SELECT s.*, (cout_estime - x0) / step AS at FROM rep JOIN s ON gravite = g AND type_route = t WHERE cout_estime IS NOT NULL),
+b AS (SELECT g, t, CAST(floor(at) AS BIGINT) AS c, 1 - (at - floor(at)) AS w FROM v UNION ALL SELECT g, t, CAST(floor(at) AS BIGINT) + 1, at - floor(at) FROM v),
+k AS (SELECT g, t, c, sum(w) AS w FROM b GROUP BY ALL),
+p AS (SELECT s.*, i AS point FROM s, range(1000) r(i))
+SELECT p.g AS gravite, p.t AS type_route, point, {rnd('any_value(x0 + point * step)', 6)} AS x,
+  {rnd('sum(w * exp(-0.5::DOUBLE * ((point - c) * step / h) * ((point - c) * step / h))) / any_value(n * h * sqrt(2 * pi()))', 9)} AS density
+FROM p JOIN k ON p.g = k.g AND p.t = k.t AND abs(point - c) <= ceil(8 * h / step) GROUP BY ALL"""
+
+
 ORACLES = {
+    "cost_density_by_severity_and_road": on_repaired(GRID_DENSITY),
     "weighted_mean_speed": on_repaired(
         "SELECT region, " + rnd(
             "sum(vitesse_estimee * nombre_vehicules) / sum(nombre_vehicules) FILTER (WHERE vitesse_estimee IS NOT NULL)", 6
