@@ -86,7 +86,7 @@ def library(path: str) -> Library:
 def file_schema(length: int, ids: pa.DataType, key: pa.DataType) -> pa.Schema:
     piece = pa.struct([("key", key), ("from", pa.int64()), ("length", pa.int64()), ("last", pa.bool_())])
     return pa.schema([
-        ("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.bool_(), length)), ("pieces", pa.list_(piece))])
+        ("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length)), ("pieces", pa.list_(piece))])
 
 
 class Packer:
@@ -120,8 +120,8 @@ class Packer:
     def _write(self, sequences: int) -> None:
         data = np.frombuffer(b"".join(self.held), self.type)
         full = sequences * self.length
-        mask = np.zeros(full, bool)
-        mask[: self.size] = True
+        mask = np.zeros(full, np.uint8)  # bytes, not bits: a reader needs no copy
+        mask[: self.size] = 1
         values = np.zeros(full, self.type)
         values[: min(full, self.size)] = data[:full]
         lists = self.schema.field("ids").type
@@ -200,12 +200,12 @@ def open_file(path: str) -> pa.ipc.RecordBatchFileReader:
 
 
 def sequence(reader: pa.ipc.RecordBatchFileReader, i: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence i of a file: ids (a view, no copy) and mask. All batches but the last are full."""
+    """Sequence i of a file: ids and mask, both views of it. All batches but the last are full."""
     batch = reader.get_batch(i // rows)
     length = batch.schema.field("ids").type.list_size
     at = (i % rows) * length
     mask = batch.column("mask").values.slice(at, length)
-    return batch.column("ids").values.slice(at, length).to_numpy(), mask.to_numpy(zero_copy_only=False)
+    return batch.column("ids").values.slice(at, length).to_numpy(), mask.to_numpy()
 
 
 def read_documents(spark: SparkSession, manifest: DataFrame, kind: str = "bigint", key: str = "doc_id") -> DataFrame:

@@ -102,12 +102,13 @@ def leaks(
 ) -> DataFrame:
     """(key, item, n_windows, n_matched, longest_run, changed_slots) for each leaked pair.
 
-    Rows that share a key count as one document, also the null key; equal items under several ids
-    each count. Null and empty texts, and texts without a letter or digit, match nothing. Items
+    Rows that share a key count as one document; rows without a key are known by their text, so that
+    several of them may stand with a null key for one item. Equal items under several ids each count. Null and empty texts, and texts without a letter or digit, match nothing. Items
     shorter than a window match only documents that are just as short. An empty table on either
     side gives an empty result. Further columns are ignored.
     """
-    own = docs.select(F.col(key).alias("d"), F.col(text).alias("text"))
+    unnamed = F.when(F.col(key).isNull(), F.xxhash64(F.col(text)))
+    own = docs.select(F.struct(F.col(key).alias("key"), unnamed.alias("x")).alias("d"), F.col(text).alias("text"))
     asked = keep(windows(benchmark.select(F.col(item).alias("i"), F.col(item_text).alias("text")), "i"), "benchmark")
     asked = asked.select("i", "n", F.col("pos").alias("at"), "hash", F.col("slots").alias("asked"))
     if asked.count() <= SENT_WINDOWS:
@@ -135,7 +136,7 @@ def leaks(
         F.max("n").alias("n_windows"), F.count(F.lit(1)).alias("n_matched"),
         (F.max("run") + WINDOW - 1).alias("longest_run"), F.max("changed").alias("changed_slots"))
     enough = (F.col("n_matched") >= covered * F.col("n_windows")) | (F.col("longest_run") >= run_words)
-    return totals.filter(enough).withColumnsRenamed({"d": key, "i": item})
+    return totals.filter(enough).withColumn("d", F.col("d.key")).withColumnsRenamed({"d": key, "i": item})
 
 
 def _longest(places: Column) -> Column:
@@ -155,7 +156,8 @@ def remove(
     """The rows of `docs`, all columns, whose document leaks no item.
 
     Rows that share a key are one document and go together. Rows without a key are known by
-    their text's hash and judged each by itself."""
+    their text's hash and judged each by itself. Further columns stay as they are; an empty table on
+    either side removes nothing."""
 
     def unnamed(df: DataFrame) -> Column:
         return F.when(df[key].isNull(), F.xxhash64(df[text]))

@@ -96,7 +96,13 @@ def hinted(attributes: str) -> bool:
 def tokens(page: str) -> Iterator[Token]:
     """Tags and texts of a page in order; broken markup is read as far as it goes."""
     stack: list[Open] = []
+    levels: dict[str, list[int]] = {}  # where elements of a name stand in the stack
     at, end = 0, len(page)
+
+    def close_from(level: int) -> None:
+        while len(stack) > level:
+            levels[stack.pop().name].pop()
+
     while at < end:
         m = _NEXT.search(page, at)
         stop = m.start() if m else end
@@ -114,14 +120,14 @@ def tokens(page: str) -> Iterator[Token]:
         closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         known = name if name in KNOWN else "other"
         if closing:
-            if name in ("br", "p") and not any(x.name == name for x in stack):
+            places = levels.get(name)
+            if name in ("br", "p") and not places:
                 yield Token(tag=_weight_name(top, known), block=name not in INLINE, inside=top.content, apart=top.apart)
                 continue
-            level = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
-            if level is None:
+            if not places:
                 continue
-            own = stack[level]
-            del stack[level:]
+            own = stack[places[-1]]
+            close_from(places[-1])
             yield Token(tag=_weight_name(own, known), block=name not in INLINE, inside=own.content, apart=own.apart)
             continue
         content = top.content or (name in ("article", "main") or 'role="main"' in attributes) and not top.apart
@@ -135,7 +141,8 @@ def tokens(page: str) -> Iterator[Token]:
             at = close.end() if close else end
         elif name not in VOID and not attributes.rstrip().endswith("/"):
             if name == "p" and stack and stack[-1].name == "p":
-                stack.pop()
+                close_from(len(stack) - 1)
+            levels.setdefault(name, []).append(len(stack))
             stack.append(own)
 
 

@@ -31,8 +31,6 @@ CELL = 2048
 STEP = 1 << 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Column of the text's hash beside the columns of documents.
-_HASH = "__text_hash"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -289,10 +287,15 @@ def representatives(docs: DataFrame, radius: int = RADIUS, text: str = "text", k
     Rows without a key stay only where their whole group has none, one of them.
 
     A row is known by its key and its text's hash, so a key that several texts share, null
-    included, stands for each of their groups."""
+    included, stands for each of their groups. Further columns of any name stay as they are. An
+    empty table gives an empty result."""
+    hashed = "text_hash"
+    while hashed in docs.columns:
+        hashed += "_"
     _, placed = _placed(docs, radius, text, key)
     heads = placed.groupBy("component").agg(F.min("first").alias("first"))
     heads = keep(heads.select(F.col("first.least").alias("head"), F.col("first.x").alias("head_x")).distinct(), "heads")
-    rows = docs.withColumn(_HASH, F.xxhash64(F.col(text)))
-    kept = rows.join(heads, rows[key].eqNullSafe(heads["head"]) & (rows[_HASH] == heads["head_x"]), "left_semi")
-    return kept.dropDuplicates([key, _HASH]).drop(_HASH)
+    heads = heads.toDF("__head", "__head_x")
+    rows = docs.withColumn(hashed, F.xxhash64(F.col(text)))
+    kept = rows.join(heads, rows[key].eqNullSafe(heads["__head"]) & (rows[hashed] == heads["__head_x"]), "left_semi")
+    return kept.dropDuplicates([key, hashed]).drop(hashed)

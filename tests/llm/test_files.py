@@ -38,6 +38,8 @@ def test_token_files_odd_rows(spark):
     reader = binary.open_file(first.path)
     ids, mask = binary.sequence(reader, 0, rows=4)
     assert len(ids) == 16 and ids[:2].tolist() == [lib.encode("x").ids[0], 7] and mask[0]
+    for got_, name in ((ids, "ids"), (mask, "mask")):  # views of the mapped file, no copies
+        assert got_.__array_interface__["data"][0] == reader.get_batch(0).column(name).values.buffers()[1].address
     assert binary.read_documents(spark, binary.write(df.limit(0), BYTES)).count() == 0
 
 

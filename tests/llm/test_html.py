@@ -2,6 +2,7 @@
 
 import html as entities
 import re
+import time
 
 from hazardframe.llm import html, queries
 
@@ -75,3 +76,10 @@ def test_unmarked_page_keeps_its_paragraphs_with_learned_weights(spark):
     lines = ["A head line", "First paragraph of some ten words or so in all.", "Second one is a little longer than the first one was.", "Last."]
     page = "<html><body><nav><a>Home</a></nav><h1>{}</h1><p>{}</p><p>{}</p><p>{}</p></body></html>".format(*lines)
     assert html.main_text(page, weights).split("\n") == lines
+
+
+def test_many_unmatched_end_tags_take_linear_time():
+    page = "<div>" * 100_000 + "</x>" * 100_000 + "<p>words in the end</p>"
+    start = time.perf_counter()
+    found = [t.text for t in html.tokens(page) if t.text]
+    assert found == ["words in the end"] and time.perf_counter() - start < 5

@@ -174,3 +174,16 @@ def test_each_notice_has_its_own_label_only(spark):
              (104, by.format("noncommercial sharealike"), "cc-by-nc,cc-by-sa"), (105, by.format("noderivatives"), "")]
     got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, want string")).collect()}
     assert {i: got[i] for i, _, _ in rows} == {i: label for i, _, label in rows}
+
+
+def test_null_keys_are_known_by_their_texts(spark):
+    """An item cut in three parts, each in a row without a key, leaks from none of them."""
+    words = "which train leaves the old station at nine and reaches the far harbour before the slow ferry that crosses twice every second day".split()
+    item = " ".join(words)
+    parts = [" ".join(words[a : a + 10]) for a in (0, 7, 14)]
+    asked = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, p) for p in parts], "doc_id long, text string")
+    assert decontaminate.leaks(docs, asked).count() == 0
+    whole = docs.unionAll(spark.createDataFrame([(None, item), (None, item + " again")], docs.schema))
+    assert [(r.doc_id, r.item_id) for r in decontaminate.leaks(whole, asked).collect()] == [(None, 1)] * 2
+    assert sorted(r.text for r in decontaminate.remove(whole, asked).collect()) == sorted(parts)

@@ -102,3 +102,10 @@ def test_representatives_of_null_and_reused_ids(spark):
     got = simhash.representatives(df)
     want = [(None, one, "a"), (None, two, "b"), (7, three, "c"), (7, four, "d"), (5, "", "g")]
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want)) and got.columns == df.columns
+
+
+def test_clashing_column_names_stay(spark):
+    rows = [(1, "some words of a text here", "a", "b", 7), (2, "some words of a text here", "c", "d", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, text_hash string, __head string, fp int")
+    assert [tuple(r) for r in simhash.representatives(df).collect()] == [rows[0]]
+    assert simhash.representatives(df.limit(0)).columns == df.columns
