@@ -33,6 +33,7 @@ QUERIES = {
     "class_auc": _on_scored(lambda df: M.class_auc(df).withColumn("auc", F.round("auc", 9))),
     "macro_auc": _on_scored(M.macro_auc),
     "roc_points": _on_scored(M.roc_points),
+    "roc_curve": _on_scored(M.roc_curve),
     "rule_severity": on_repaired(
         lambda df: rule_severity(df).select(
             "accident_id", "score", F.concat_ws(",", "factors").alias("factors"), "predicted", "p0", "p1", "p2"

@@ -1,10 +1,16 @@
 """The analytical reports over the row-repaired table."""
 
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalog.relations import on_repaired
+from catalog.relations import on_repaired, repaired
+from hazardframe.functions.joins import store
 from hazardframe.operators import reports as R
-from hazardframe.sources.tables import query, read_table
+from hazardframe.session import shared_dir
+from hazardframe.sources.tables import CSV_READ, export_reports, load_json, query, read_table, save_json, typed
 
 VIEW_SQL = """
 SELECT region, type_route, count(*) AS n, sum(nombre_deces) AS deces
@@ -20,7 +26,40 @@ def scan_table(spark, sf_dir):
     )
 
 
+BUNDLE = " ".join(dict.fromkeys(
+    "nombre_deces nombre_victimes cout_estime date_accident region ville axe_routier gravite vitesse_estimee heure cause "
+    "type_route limitation_vitesse port_casque port_ceinture type_vehicule".split()))
+
+
+def full_report(spark, sf_dir):
+    """Rows and columns of every report of the bundle."""
+    reports = R.full_report(store(repaired(spark, sf_dir, BUNDLE), "repaired"))
+    sizes = [df.agg(F.lit(name).alias("report"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns")) for name, df in reports.items()]
+    return reduce(DataFrame.unionByName, sizes)
+
+
+def report_export(spark, sf_dir):
+    """The bundle written as one CSV per report; the region report as read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/reports-{uuid.uuid4().hex}"
+    reports = R.full_report(store(repaired(spark, sf_dir, BUNDLE), "repaired"))
+    export_reports(reports, path)
+    name = "top_regions"
+    return typed(spark.read.csv(f"{path}/{name}", **CSV_READ), reports[name].schema)
+
+
+def json_round_trip(spark, sf_dir):
+    """Numbers of incidents and deaths by severity, written as a JSON report and read back."""
+    path = f"{shared_dir(spark).rstrip('/')}/counts-{uuid.uuid4().hex}"
+    rows = repaired(spark, sf_dir, "gravite nombre_deces").groupBy("gravite").agg(F.count(F.lit(1)).alias("n"), F.sum("nombre_deces").alias("deces"))
+    save_json(spark, {row["gravite"]: {"n": row["n"], "deces": row["deces"]} for row in rows.collect()}, path)  # a row per severity
+    found = [(name, v["n"], v["deces"]) for name, v in load_json(spark, path).items()]
+    return spark.createDataFrame(found, "gravite string, n long, deces long")
+
+
 QUERIES = {
+    "full_report": full_report,
+    "report_export": report_export,
+    "json_round_trip": json_round_trip,
     "scan_table": scan_table,
     "sql_view": on_repaired(query, "region type_route nombre_deces heure", sql=VIEW_SQL),
     "kpis": on_repaired(

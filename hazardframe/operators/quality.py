@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardframe.functions.joins import attach
+from hazardframe.functions.joins import BROADCAST_ROWS, attach, materialise
 from hazardframe.functions.ordered import median_cell, quantiles
 from hazardframe.functions.scalar import n_rows, per_100
 from hazardframe.roles import ALLOWED_VALUES, INCIDENT, Roles
@@ -27,20 +27,30 @@ def _long(df: DataFrame, columns: Sequence[str], kind: str) -> DataFrame:
     return cells.unpivot([], list(columns), "column", "value")
 
 
-def duplicate_rows(df: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
-    """Rows beyond the first of each set of equal rows (or equal keys)."""
-    groups = df.groupBy(*(keys or df.columns)).agg((n_rows() - 1).alias("_extra"))
-    return groups.agg(F.coalesce(F.sum("_extra"), F.lit(0)).alias("duplicates"))
+def _row_hashes(df: DataFrame) -> list[Column]:
+    """Two independent hashes of a whole row; the places of unknown cells count, too."""
+    unknown = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in df.columns])
+    return [F.xxhash64(F.lit(seed), unknown, *df.columns).alias(f"_h{seed}") for seed in (1, 2)]
+
+
+def equal_rows(df: DataFrame) -> DataFrame:
+    """The rows that another row equals, once per set of equal ones, with their number ``_n``.
+
+    Rows are counted by a 128-bit hash; only rows whose hash occurs again are compared as a whole,
+    so no shuffle carries all columns of all rows.
+    """
+    hashes = _row_hashes(df)
+    again = df.select(*hashes).groupBy("_h1", "_h2").agg(n_rows().alias("_n")).where("_n > 1").select("_h1", "_h2")
+    again = materialise(again)
+    some = attach(df.select("*", *hashes), again.withColumn("_again", F.lit(True)), ["_h1", "_h2"], ["_again"], "inner",
+                  null_keys=False, small=again.count() <= BROADCAST_ROWS)
+    return some.groupBy(*df.columns).agg(n_rows().alias("_n")).where("_n > 1")
 
 
 def table_summary(df: DataFrame) -> DataFrame:
-    """Rows, columns and full-row duplicates, from one grouping."""
-    groups = df.groupBy(*df.columns).agg(n_rows().alias("_n"))
-    return groups.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.lit(len(df.columns)).alias("columns"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"),
-    )
+    """Rows, columns and full-row duplicates."""
+    extra = equal_rows(df).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).scalar()
+    return df.agg(n_rows().alias("rows")).select("rows", F.lit(len(df.columns)).alias("columns"), extra.alias("duplicates"))
 
 
 def null_ranking(df: DataFrame, top: int | None = None) -> DataFrame:
@@ -251,14 +261,12 @@ def unexpected_values(df: DataFrame, allowed: Mapping[str, Sequence[str]] = ALLO
 
 def before_after(raw: DataFrame, clean: DataFrame) -> DataFrame:
     """Rows before and after cleaning, retention, missing cells and duplicate rows left."""
-    summary = clean.groupBy(*clean.columns).agg(n_rows().alias("_n"))
     missing = F.size(F.filter(F.array(*[F.col(c).isNull() for c in clean.columns]), lambda x: x))
     before = raw.agg(n_rows().alias("n")).scalar()
-    after = F.coalesce(F.sum("_n"), F.lit(0))
-    return summary.agg(
-        after.alias("rows_clean"),
-        F.coalesce(F.sum(missing * F.col("_n")), F.lit(0)).alias("missing_left"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates_left"),
+    extra = equal_rows(clean).agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).scalar()
+    return clean.agg(
+        n_rows().alias("rows_clean"),
+        F.coalesce(F.sum(missing), F.lit(0)).alias("missing_left"),
     ).select(
         before.alias("rows_raw"),
         "rows_clean",
@@ -266,5 +274,5 @@ def before_after(raw: DataFrame, clean: DataFrame) -> DataFrame:
         F.round(per_100(F.col("rows_clean"), before), 2).alias("retention_pct"),
         F.lit(len(clean.columns)).alias("columns"),
         "missing_left",
-        "duplicates_left",
+        extra.alias("duplicates_left"),
     )

@@ -90,6 +90,18 @@ g AS (SELECT c, s, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM l GROUP
 w AS (SELECT c, s, sum(pos) OVER down AS tp, sum(neg) OVER down AS fp, sum(pos) OVER (PARTITION BY c) AS p, sum(neg) OVER (PARTITION BY c) AS n
   FROM g WINDOW down AS (PARTITION BY c ORDER BY s DESC))
 SELECT c AS "class", s AS threshold, {rnd('fp / n', 9)} AS fpr, {rnd('tp / p', 9)} AS tpr FROM w
+UNION ALL SELECT DISTINCT c, NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM g""",
+        SCORED,
+    ),
+    "roc_curve": on_repaired(
+        f"""
+, l AS ({LONG}),
+g AS (SELECT c, s, sum(y)::DOUBLE AS pos, sum(1 - y)::DOUBLE AS neg FROM l GROUP BY c, s),
+w AS (SELECT c, s, pos, neg, sum(pos) OVER down AS tp, sum(neg) OVER down AS fp, sum(pos) OVER (PARTITION BY c) AS p, sum(neg) OVER (PARTITION BY c) AS n,
+    row_number() OVER down AS i, lead(pos) OVER down AS pos1, lead(neg) OVER down AS neg1
+  FROM g WINDOW down AS (PARTITION BY c ORDER BY s DESC))
+SELECT c AS "class", s AS threshold, {rnd('fp / n', 9)} AS fpr, {rnd('tp / p', 9)} AS tpr FROM w
+  WHERE i = 1 OR pos1 IS NULL OR pos1 <> pos OR neg1 <> neg
 UNION ALL SELECT DISTINCT c, NULL::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM g""",
         SCORED,
     ),

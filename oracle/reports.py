@@ -171,3 +171,19 @@ ORACLES["cause_severity_pivot_filled"] = on_repaired(
     + ", ".join(f"count(*) FILTER (WHERE gravite = '{c}') AS \"{c}\"" for c in ("Léger", "Grave", "Mortel"))
     + " FROM rep GROUP BY cause"
 )
+
+#: Reports of the bundle: name, the query that gives it, its columns.
+BUNDLE = [
+    ("kpi_globaux", "kpis"), ("gravite", "by_severity"), ("tendance_annuelle", "yearly_trend"), ("accidents_par_heure", "by_hour"),
+    ("top_regions", "top_regions"), ("top_axes", "top_roads"), ("causes_gravite", "causes_by_severity"), ("analyse_vitesse", "speed_profile"),
+    ("impact_epi", "protection_impact"), ("cout_region", "cost_by_region"), ("risque_vehicule", "by_vehicle"),
+]
+ORACLES["full_report"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS report, (SELECT count(*) FROM ({ORACLES[query]})) AS n_rows, "
+    f"(SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE {ORACLES[query]})) AS n_columns"
+    for name, query in BUNDLE
+)
+ORACLES["report_export"] = ORACLES["top_regions"]
+ORACLES["json_round_trip"] = on_repaired(
+    "SELECT gravite, count(*) AS n, CAST(sum(nombre_deces) AS BIGINT) AS deces FROM rep GROUP BY gravite"
+)

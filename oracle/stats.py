@@ -92,8 +92,8 @@ GRID_DENSITY = f"""
 , s AS (SELECT gravite AS g, type_route AS t, count(*) AS n, stddev_samp(cout_estime) * count(*) ** -0.2::DOUBLE AS h,
     min(cout_estime) - (max(cout_estime) - min(cout_estime))::DOUBLE / 2 AS x0, 2 * (max(cout_estime) - min(cout_estime))::DOUBLE / 999 AS step
   FROM rep WHERE cout_estime IS NOT NULL GROUP BY ALL HAVING stddev_samp(cout_estime) > 0),
-v AS (SELECT s.*, (cout_estime - x0) / step AS at FROM rep JOIN s ON gravite = g AND type_route = t WHERE cout_estime IS NOT NULL),
-b AS (SELECT g, t, CAST(floor(at) AS BIGINT) AS c, 1 - (at - floor(at)) AS w FROM v UNION ALL SELECT g, t, CAST(floor(at) AS BIGINT) + 1, at - floor(at) FROM v),
+v AS (SELECT s.*, (cout_estime - x0) / step AS place FROM rep JOIN s ON gravite = g AND type_route = t WHERE cout_estime IS NOT NULL),
+b AS (SELECT g, t, CAST(floor(place) AS BIGINT) AS c, 1 - (place - floor(place)) AS w FROM v UNION ALL SELECT g, t, CAST(floor(place) AS BIGINT) + 1, place - floor(place) FROM v),
 k AS (SELECT g, t, c, sum(w) AS w FROM b GROUP BY ALL),
 p AS (SELECT s.*, i AS point FROM s, range(1000) r(i))
 SELECT p.g AS gravite, p.t AS type_route, point, {rnd('any_value(x0 + point * step)', 6)} AS x,
