@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hazardframe.functions.joins import attach
+from hazardframe.functions.joins import attach, materialise
 from hazardframe.functions.scalar import col
 
 # Buckets per e-fold of |value|: about 0.1 % wide, at most ~42 000 per sign below 1e18.
@@ -39,6 +39,28 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: Column | str, name:
     )
 
 
+def counted(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:
+    """Rows per keys and value, unknown ones too, computed once and kept: (keys, value, n).
+
+    Totals, means, deviations and quantiles of the value can all be taken from it, so that the
+    rows themselves are read once. NaN counts as unknown.
+    """
+    values = df.select(*keys, col(value).alias("value"))
+    if isinstance(values.schema["value"].dataType, T.DoubleType | T.FloatType):
+        values = values.withColumn("value", F.when(~F.isnan("value"), F.col("value")))
+    return materialise(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def known(counts: DataFrame) -> DataFrame:
+    return counts.where(F.col("value").isNotNull())
+
+
+def mean_of_counts(value: Column | str = "value") -> Column:
+    """The mean, as an aggregate over counted values."""
+    v = col(value)
+    return F.try_divide(F.sum(v * F.col("n")).cast("double"), F.sum(F.when(v.isNotNull(), F.col("n"))))
+
+
 def modes(counts: DataFrame, keys: Sequence[str], value: str = "value", out: str = "mode") -> DataFrame:
     """Most frequent value per key from counted values; the smallest one wins a tie."""
     ranked = F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(out)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardframe.functions.joins import BROADCAST_ROWS, attach, materialise
-from hazardframe.functions.ordered import median_cell, quantiles
+from hazardframe.functions.ordered import counted, known, mean_of_counts, median_cell, quantiles, quantiles_of_counts
 from hazardframe.functions.scalar import n_rows, per_100
 from hazardframe.roles import ALLOWED_VALUES, INCIDENT, Roles
 
@@ -160,20 +160,28 @@ def histogram(df: DataFrame, column: str, bins: int = 40) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int | None = None) -> DataFrame:
-    """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns."""
+    """Count, mean, sample deviation, minimum, quartiles and maximum of numeric columns.
+
+    All of them come from the counted values, so the table is read once.
+    """
     names = list(columns) if columns is not None else numeric_columns(df)
-    cells = _long(df, names, "double")
-    moments = cells.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.round(per_100(F.count_if(F.col("value").isNull()), n_rows()), 4).alias("missing_pct"),
+    counts = counted(_long(df, names, "double"), ["column"], "value")
+    v, n = F.col("value"), F.col("n")
+    moments = counts.groupBy("column").agg(
+        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("count"),
+        mean_of_counts().alias("mean"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.round(per_100(F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)), F.sum(n)), 4).alias("missing_pct"),
     )
+    # A row per column of the table: as few as its schema has.
+    spread = attach(known(counts), moments, ["column"], ["count", "mean"], small=True)
+    square = F.sum(n * (v - F.col("mean")) * (v - F.col("mean")))
+    spread = spread.groupBy("column").agg(F.when(F.max("count") > 1, F.sqrt(square / (F.max("count") - 1))).alias("std"))
     marks = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
-    cuts = quantiles(cells, ["column"], "value", marks, accuracy)
-    joined = attach(moments, cuts, ["column"], list(marks))
+    cuts = quantiles_of_counts(known(counts), ["column"], marks) if accuracy is None else quantiles(
+        _long(df, names, "double"), ["column"], "value", marks, accuracy)
+    joined = attach(attach(moments, spread, ["column"], ["std"], small=True), cuts, ["column"], list(marks), small=True)
     return joined.select("column", "count", "mean", "std", "min", *marks, "max", "missing_pct")
 
 

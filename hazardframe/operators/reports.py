@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardframe.functions.joins import attach
-from hazardframe.functions.ordered import quantiles
+from hazardframe.functions.ordered import counted, known, mean_of_counts, quantiles, quantiles_of_counts
 from hazardframe.functions.scalar import (
     deaths_per_100,
     mapped,
@@ -35,7 +35,7 @@ def _percent_of(*keys: str, count: str = "nb_accidents") -> Column:
     return F.round(per_100(F.col(count), F.sum(count).over(Window.partitionBy(*keys))), 2)
 
 
-def _scaled_sum(c: str, unit: float, digits: int) -> Column:
+def _scaled_sum(c: Column | str, unit: float, digits: int) -> Column:
     return F.round(F.sum(c) / F.lit(unit), digits)
 
 
@@ -264,13 +264,16 @@ def cause_share_by_hour(df: DataFrame, value: str = "Alcool", r: Roles = INCIDEN
 
 
 def cost_by_region(df: DataFrame, r: Roles = INCIDENT, accuracy: int | None = None) -> DataFrame:
-    grouped = df.groupBy(r.region).agg(
-        n_rows().alias("nb_accidents"),
-        _scaled_sum(r.cost, 1e6, 1).alias("cout_total_MFCFA"),
-        mean(r.cost, 0).alias("cout_moyen_FCFA"),
-        F.round(F.max(F.col(r.cost).cast("double")), 0).alias("cout_max_FCFA"),
+    """Totals and mean from the counted costs that also give the median: the rows are read once."""
+    counts = counted(df, [r.region], r.cost)
+    cost, n = F.col("value"), F.col("n")
+    grouped = counts.groupBy(r.region).agg(
+        F.sum(n).alias("nb_accidents"),
+        _scaled_sum(cost * n, 1e6, 1).alias("cout_total_MFCFA"),
+        F.round(mean_of_counts(), 0).alias("cout_moyen_FCFA"),
+        F.round(F.max(cost.cast("double")), 0).alias("cout_max_FCFA"),
     )
-    middle = quantiles(df, [r.region], r.cost, {"_median": 0.5}, accuracy)
+    middle = _cuts(df, counts, [r.region], r.cost, {"_median": 0.5}, accuracy)
     return (
         attach(grouped, middle, [r.region], ["_median"])
         .withColumn("cout_median_FCFA", F.round("_median", 0))
@@ -279,6 +282,15 @@ def cost_by_region(df: DataFrame, r: Roles = INCIDENT, accuracy: int | None = No
     )
 
 
+def _cuts(
+    df: DataFrame, counts: DataFrame, keys: list[str], value: Column | str, marks: dict[str, float], accuracy: int | None
+) -> DataFrame:
+    """Quantiles from counted values, or from sketches of the rows with ``accuracy``."""
+    if accuracy is None:
+        return quantiles_of_counts(known(counts), keys, marks)
+    return quantiles(df, keys, value, marks, accuracy)
+
+
 def cost_by_cause(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
     return (
         df.groupBy(r.cause)
@@ -357,10 +369,12 @@ def top_night_zones(df: DataFrame, n: int = 10, min_n: int = 100, r: Roles = INC
 
 
 def excess_speed_by_severity(df: DataFrame, r: Roles = INCIDENT, accuracy: int | None = None) -> DataFrame:
+    """Mean, quartiles and ninth decile from the counted excess: the rows are read once."""
     excess = F.col(r.speed) - F.col(r.limit)
-    grouped = df.groupBy(r.severity).agg(mean(excess, 2).alias("exces_moy"), n_rows().alias("n"))
+    counts = counted(df, [r.severity], excess)
+    grouped = counts.groupBy(r.severity).agg(F.round(mean_of_counts(), 2).alias("exces_moy"), F.sum("n").alias("n"))
     marks = {"q25": 0.25, "mediane": 0.5, "q75": 0.75, "p90": 0.9}
-    cuts = quantiles(df, [r.severity], excess, marks, accuracy).drop("n")
+    cuts = _cuts(df, counts, [r.severity], excess, marks, accuracy).drop("n")
     return (
         attach(grouped, cuts, [r.severity], list(marks))
         .select(r.severity, "exces_moy", *[F.round(q, 1).alias(q) for q in marks], "n")

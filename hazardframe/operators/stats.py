@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from itertools import combinations
 from statistics import NormalDist
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardframe.functions.joins import attach, lookup, materialise
@@ -63,16 +63,19 @@ def association_ranking(
     counts = cells.groupBy(F.substring("column", 3, 1000).alias("column"), "_x", "_y").agg(
         n_rows().cast("double").alias("_o")
     )
-    counts = materialise(counts)  # the contingency tables; everything below reads only these
-    rows = counts.groupBy("column", "_x").agg(F.sum("_o").alias("_r"))
-    cols = counts.groupBy("column", "_y").agg(F.sum("_o").alias("_c"))
-    full = attach(attach(counts, rows, ["column", "_x"], ["_r"]), cols, ["column", "_y"], ["_c"])
-    fit = full.groupBy("column").agg(
-        F.sum("_o").alias("_n"), F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("_f")
+    # Sums of a table's rows and columns beside its cells; the first cell of each stands for it.
+    in_row, in_column = (Window.partitionBy("column", c) for c in ("_x", "_y"))
+    first = lambda w, other: F.row_number().over(w.orderBy(other)) == 1
+    full = counts.withColumns({"_r": F.sum("_o").over(in_row), "_row": first(in_row, "_y")})
+    full = full.withColumns({"_c": F.sum("_o").over(in_column), "_column": first(in_column, "_x")})
+    parts = full.groupBy("column").agg(
+        F.sum("_o").alias("_n"),
+        F.sum(F.col("_o") * F.col("_o") / (F.col("_r") * F.col("_c"))).alias("_f"),
+        F.count_if("_row").alias("_rows"),
+        F.sum(F.when(F.col("_row"), 1 / F.col("_r"))).alias("_ir"),
+        F.count_if("_column").alias("_cols"),
+        F.sum(F.when(F.col("_column"), 1 / F.col("_c"))).alias("_ic"),
     )
-    by_row = rows.groupBy("column").agg(n_rows().alias("_rows"), F.sum(1 / F.col("_r")).alias("_ir"))
-    by_col = cols.groupBy("column").agg(n_rows().alias("_cols"), F.sum(1 / F.col("_c")).alias("_ic"))
-    parts = attach(attach(fit, by_row, ["column"], ["_rows", "_ir"]), by_col, ["column"], ["_cols", "_ic"])
 
     phi2 = F.greatest(F.col("_f") - 1, F.lit(0.0))
     # In a 2x2 table all four cells are off by the same distance d, and chi2 = d^2 * sum 1/E.
