@@ -188,23 +188,23 @@ def grid_density(
 
 
 def extremes(df: DataFrame, r: Roles = INCIDENT) -> DataFrame:
-    """Deadliest hour, the two deadliest causes and the region with the highest fatal share."""
-    fatal = F.col(r.severity) == FATAL
-
-    def best(key: str, name: str, measure: Column, n: int, rows: DataFrame) -> DataFrame:
-        grouped = rows.where(F.col(key).isNotNull()).groupBy(key).agg(measure.alias("measure"))
-        return (
-            grouped.orderBy(F.desc("measure"), key)
-            .limit(n)
-            .select(F.lit(name).alias("insight"), F.col(key).cast("string").alias("value"), "measure")
-        )
-
-    count = n_rows().cast("double")
-    return (
-        best(r.hour, "deadliest_hour", count, 1, df.where(fatal))
-        .unionByName(best(r.cause, "deadliest_cause", count, 2, df.where(fatal)))
-        .unionByName(best(r.region, "deadliest_region", share(fatal, 4), 1, df))
-    )
+    """Deadliest hour, the two deadliest causes and the region with the highest fatal share: one pass."""
+    kinds = {"deadliest_hour": (r.hour, 1), "deadliest_cause": (r.cause, 2), "deadliest_region": (r.region, 1)}
+    # Ties go to the smallest key, an hour's by number.
+    keys = F.explode(F.array(*[
+        F.struct(F.lit(kind).alias("insight"), F.col(c).cast("string").alias("value"),
+                 (F.col(c) if c == r.hour else F.lit(None)).cast("long").alias("number"))
+        for kind, (c, _) in kinds.items()
+    ]))
+    rows = df.select((F.col(r.severity) == FATAL).alias("_fatal"), keys.alias("k")).select("_fatal", "k.*")
+    grouped = rows.where(F.col("value").isNotNull()).groupBy("insight", "value", "number").agg(
+        F.count_if("_fatal").alias("_deadly"), share(F.col("_fatal"), 4).alias("_share"))
+    of_region = F.col("insight") == "deadliest_region"
+    measure = F.when(of_region, F.col("_share")).otherwise(F.col("_deadly").cast("double"))
+    best = Window.partitionBy("insight").orderBy(F.desc("measure"), "number", "value")
+    ranked = grouped.where(of_region | (F.col("_deadly") > 0)).withColumn("measure", measure).withColumn("_at", F.row_number().over(best))
+    most = F.element_at(F.create_map(*[F.lit(x) for kind, (_, n) in kinds.items() for x in (kind, n)]), F.col("insight"))
+    return ranked.where(F.col("_at") <= most).select("insight", "value", "measure")
 
 
 def exposures(r: Roles = INCIDENT) -> dict[str, Column]:
