@@ -309,7 +309,7 @@ def component_links(met: DataFrame, bits: DataFrame, read: Callable[[DataFrame],
         across = open_.agg(F.sum(F.expr("cast(m * m - squares as double) / 2"))).first()[0] or 0
         if not across:
             break
-        last = across <= FEW * postings or across > before / 2
+        last = turn > 0 and (across <= FEW * postings or across > before / 2)
         if last:
             pairs = _across(rows, open_)
         else:
