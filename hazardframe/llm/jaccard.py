@@ -49,7 +49,7 @@ class Hashes(dict):
     """word: 64-bit hash, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
