@@ -45,6 +45,9 @@ def trainable(spark, sf_dir):
 
 
 KEY = ["accident_id"]
+#: Labelled rows that the three queries of many fits use at most, those of least row hash; all test
+#: rows are scored.
+LABELLED_ROWS = 3000
 
 
 def split_counts(spark, sf_dir):
@@ -135,13 +138,13 @@ def cross_validation(spark, sf_dir):
 
 def model_comparison(spark, sf_dir):
     """Test and cross-validation scores of the four models, to three digits."""
-    table = train_models(trainable(spark, sf_dir), leak_free=True)["comparison"]
+    table = train_models(trainable(spark, sf_dir), leak_free=True, labelled_rows=LABELLED_ROWS)["comparison"]
     return table.select("model_name", *[F.round(c, 3).alias(c) for c in table.columns if c != "model_name"])
 
 
 def search_results(spark, sf_dir):
     """Per rung of the search: the settings that came so far, their rounds, and the best score they reached."""
-    rows = L.search(_train(spark, sf_dir), KEY, L.SEARCH_SPACES["level_wise"], leak_free=True)
+    rows = L.search(_train(spark, sf_dir), KEY, L.SEARCH_SPACES["level_wise"], leak_free=True, labelled_rows=LABELLED_ROWS)
     rungs = []
     for rung in range(max(row["rung"] for row in rows) + 1):
         far = [row for row in rows if row["rung"] >= rung]
@@ -151,7 +154,7 @@ def search_results(spark, sf_dir):
 
 def learning_curve(spark, sf_dir):
     """Training rows, scores to two digits and the verdict at eight sizes."""
-    rows = L.learning_curve(_train(spark, sf_dir), L.forest(), KEY, leak_free=True)
+    rows = L.learning_curve(_train(spark, sf_dir), L.forest(), KEY, leak_free=True, labelled_rows=LABELLED_ROWS)
     table = [(round(r["size"], 6), r["rows"], round(r["train_mean"], 2), round(r["val_mean"], 2), r["overfitting"]) for r in rows]
     return spark.createDataFrame(table, "size double, rows long, train_f1 double, val_f1 double, overfitting boolean")
 

@@ -42,6 +42,7 @@ from hazardframe.operators.quality import numeric_columns
 from hazardframe.operators.split import add_class_weight, stratified_folds
 from hazardframe.roles import INCIDENT, SEVERITIES, Roles
 from hazardframe.session import shared_dir
+from hazardframe.sources.tables import sample_rows
 
 LABEL = INCIDENT.severity_rank
 
@@ -52,8 +53,9 @@ LABEL = INCIDENT.severity_rank
 SEED = 42
 FOREST = {"numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 5}
 BOOSTED = {"maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+# Trees of 63 leaves are grown level by level here, and six levels are as many as these leaves need.
 BOOSTED_WEIGHTED = {
-    "maxIter": 500, "stepSize": 0.05, "maxDepth": 0, "maxLeaves": 63, "minInstancesPerNode": 20, "regLambda": 0.0,
+    "maxIter": 500, "stepSize": 0.05, "maxDepth": 6, "maxLeaves": 63, "minInstancesPerNode": 20, "regLambda": 0.0,
     "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8",
 }
 # name: (low, high, step); step "log" draws log-uniformly, None uniformly, a number on a grid
@@ -365,14 +367,17 @@ def search(
     folds: int = 5,
     weighted: bool = False,
     leak_free: bool = False,
+    labelled_rows: int | None = None,
 ) -> list[dict[str, Any]]:
     """Random search by cross-validated macro F1 and successive halving, best setting first.
 
     All settings and folds grow side by side from the same binned rows. After 5, 10, 20 ... rounds the
     better half (macro F1 over the folds, then the smaller validation loss) goes on from
     where it is; the last one grows until its loss no longer falls or to its ``maxIter``. A row has the
-    setting's scores and ``rounds`` (mean over the folds) at its last ``rung``.
+    setting's scores and ``rounds`` (mean over the folds) at its last ``rung``. ``labelled_rows`` bounds
+    the rows that are searched on, those of least row hash.
     """
+    train = train if labelled_rows is None else sample_rows(train, labelled_rows, keys[0])
     rng = random.Random(SEED)
     settings = [draw(space, rng) for _ in range(trials)]
     blocks, _, _, columns = folded_blocks(train, keys, folds, leak_free)
@@ -423,13 +428,16 @@ def learning_curve(
     folds: int = 3,
     leak_free: bool = False,
     parallelism: int = 8,
+    labelled_rows: int | None = None,
 ) -> list[dict[str, Any]]:
     """Train and validation macro F1 at growing training sizes; a final gap above 0.1 is overfitting.
 
     The size is a threshold on a row hash, so each sample contains the smaller ones. All samples and
     folds are fitted side by side, ``parallelism`` at a time; their place features come from one
-    aggregation. ``rows`` counts the training rows of all folds together.
+    aggregation. ``rows`` counts the training rows of all folds together. ``labelled_rows`` bounds the
+    rows of the largest size, those of least row hash.
     """
+    train = train if labelled_rows is None else sample_rows(train, labelled_rows, keys[0])
     folded = stratified_folds(train, LABEL, keys, folds, SEED).withColumn("_luck", row_hash(keys, SEED + 1))
     cuts = [int(size * HASH_SIZE) for size in sizes]
     inside = {f"{j}.{i}": (F.col("fold") != i) & (F.col("_luck") < cut) for j, cut in enumerate(cuts) for i in range(folds)}

@@ -57,7 +57,10 @@ def _curve():
         f"false AS overfitting WHERE {PLANTED_OCCUR}"
         for size in SIZES_OF_CURVE
     )
-    return on_clean(" UNION ALL ".join(rows), PLANTED, f"lucky AS (SELECT {row_hash('accident_id', 43)} AS h FROM clean)")
+    return on_clean(
+        " UNION ALL ".join(rows), PLANTED,
+        f"lucky AS (SELECT {row_hash('accident_id', 43)} AS h FROM (SELECT accident_id FROM clean ORDER BY {row_hash('accident_id')}, accident_id LIMIT 3000))",
+    )
 
 
 ORACLES = {
