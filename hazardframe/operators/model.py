@@ -440,12 +440,12 @@ def learning_curve(
     train = train if labelled_rows is None else sample_rows(train, labelled_rows, keys[0])
     folded = stratified_folds(train, LABEL, keys, folds, SEED).withColumn("_luck", row_hash(keys, SEED + 1))
     cuts = [int(size * HASH_SIZE) for size in sizes]
-    inside = {f"{j}.{i}": (F.col("fold") != i) & (F.col("_luck") < cut) for j, cut in enumerate(cuts) for i in range(folds)}
+    inside = {f"{j}_{i}": (F.col("fold") != i) & (F.col("_luck") < cut) for j, cut in enumerate(cuts) for i in range(folds)}
     refit = leak_free and {*PLACE_FEATURES, INCIDENT.region, INCIDENT.town, INCIDENT.road, INCIDENT.severity, INCIDENT.id} <= set(train.columns)
     table = store(subset_places(folded, inside) if refit else folded, "curve")
 
     def scores(name: str) -> tuple[float, float, int]:
-        held = F.col("fold") == int(name.split(".")[1])
+        held = F.col("fold") == int(name.split("_")[1])
         own = {c: F.col(f"`{c}@{name}`") for c in PLACE_FEATURES} if refit else {}
         rows = table.where(inside[name] | held).withColumns({**own, "_held": held})
         rows = rows.select("_held", *train.columns).persist()
@@ -463,7 +463,7 @@ def learning_curve(
     forget(table)
     curve = []
     for j, size in enumerate(sizes):
-        of_size = [found[f"{j}.{i}"] for i in range(folds)]
+        of_size = [found[f"{j}_{i}"] for i in range(folds)]
         (tm, ts), (vm, vs) = (mean_std(x[k] for x in of_size) for k in (0, 1))
         curve.append({"size": size, "rows": sum(x[2] for x in of_size), "train_mean": tm, "train_std": ts, "val_mean": vm,
                       "val_std": vs, "gap": tm - vm, "overfitting": tm - vm > 0.1})
