@@ -37,3 +37,8 @@ def test_published_settings(spark, monkeypatch):
     got = called(monkeypatch, C.learning_curve, L, "learning_curve")
     assert (len(got["sizes"]), got["folds"]) == (8, 3)
     assert got["classifier"].getNumTrees() == L.FOREST["numTrees"] == 300
+
+
+def test_comparison_fits_on_all_training_rows(spark, monkeypatch):
+    got = called(monkeypatch, C.model_comparison, C, "train_models")
+    assert (got["labelled_rows"], got["leak_free"]) == (None, True)
