@@ -1,9 +1,9 @@
 """Token ids in Arrow files: fixed-size lists of equal-length sequences with masks.
 
 Documents are ranged by key, and each task writes one file of its range: record batches of
-(ids, mask, pieces). `ids` and `mask` are fixed-size lists, so that sequence i of a batch is a
-slice of one memory-mapped buffer; only the file's last sequence is padded. `pieces` says which
-document's ids lie where. A task writes under a name of its own attempt and reports it in its
+(ids, mask, pieces). `ids` are fixed-size lists, so that sequence i of a batch is a slice of one
+memory-mapped buffer; `mask` are list views as long, and as only the file's last sequence is padded,
+all others of a batch view the same bytes. `pieces` says which document's ids lie where. A task writes under a name of its own attempt and reports it in its
 row; only files of attempts that succeeded are in the manifest, so lost executors do no harm.
 """
 
@@ -12,6 +12,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,8 @@ from hazardframe.llm.counts import even
 
 #: Ids of a sequence, sequences of a record batch.
 LENGTH, ROWS = 2048, 256
-REMEMBERED = 600_000
+#: Words a worker remembers at most, and words that are learned as one text.
+REMEMBERED, LEARNED = 600_000, 200
 
 
 def place(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -47,8 +49,9 @@ class Library:
         self.inner.no_padding()
         self.special = [t.content for t in self.inner.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.inner.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        # Words with the space before them, and which tokens begin with a space.
+        # Words with the space before them, those of late and those before, and which tokens begin with a space.
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         spaced = [self.inner.id_to_token(i) or "" for i in range(self.inner.get_vocab_size(with_added_tokens=True))]
         self.begins = np.array([t.startswith("Ġ") for t in spaced])
 
@@ -57,8 +60,9 @@ class Library:
         return [np.array(e.ids, self.type).tobytes() for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words as one text with a space before each; a space begins each word's ids."""
-        (data,) = self._whole([" " + " ".join(words)])
+        """Encode runs of words as texts with a space before each word; a space begins each word's ids."""
+        runs = [words[at : at + LEARNED] for at in range(0, len(words), LEARNED)]
+        data = b"".join(self._whole([" " + " ".join(run) for run in runs]))
         starts = (np.flatnonzero(self.begins[np.frombuffer(data, self.type)]) * self.type.itemsize).tolist()
         ends = [*starts[1:], len(data)]
         self.seen.update(zip(words, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
@@ -66,16 +70,18 @@ class Library:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of `type`."""
         plain = [even(t) and not any(s in t for s in self.special) for t in texts]
-        cut = [t.split(" ") if p else [] for t, p in zip(texts, plain, strict=True)]
-        seen = self.seen
-        new = list({w for c in cut for w in c[1:] if w not in seen})
-        for at in range(0, len(new), 10_000):
-            self._learn(new[at : at + 10_000])
         # Uneven texts go to the library whole, of the others the first word, which has no space.
-        rest = iter(self._whole([c[0] if p else t for t, c, p in zip(texts, cut, plain, strict=True)]))
-        out = [next(rest) + b"".join([seen[w] for w in c[1:]]) for c in cut]
-        if len(seen) > REMEMBERED:
-            seen.clear()
+        cut = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
+        first = self._whole([words.pop(0) for words in cut])
+        seen, before = self.seen, self.before
+        new = set(filterfalse(seen.__contains__, chain.from_iterable(cut)))
+        seen.update([(w, before[w]) for w in new if w in before])
+        new = [w for w in new if w not in seen]
+        if new:
+            self._learn(new)
+        out = [f + b"".join(map(seen.__getitem__, words)) for f, words in zip(first, cut, strict=True)]
+        if len(seen) > REMEMBERED // 2:  # words of late stay, the older half goes
+            self.seen, self.before = {}, seen
         return out
 
 
@@ -86,7 +92,7 @@ def library(path: str) -> Library:
 def file_schema(length: int, ids: pa.DataType, key: pa.DataType) -> pa.Schema:
     piece = pa.struct([("key", key), ("from", pa.int64()), ("length", pa.int64()), ("last", pa.bool_())])
     return pa.schema([
-        ("ids", pa.list_(ids, length)), ("mask", pa.list_(pa.uint8(), length)), ("pieces", pa.list_(piece))])
+        ("ids", pa.list_(ids, length)), ("mask", pa.list_view(pa.uint8())), ("pieces", pa.list_(piece))])
 
 
 class Packer:
@@ -120,17 +126,19 @@ class Packer:
     def _write(self, sequences: int) -> None:
         data = np.frombuffer(b"".join(self.held), self.type)
         full = sequences * self.length
-        mask = np.zeros(full, np.uint8)  # bytes, not bits: a reader needs no copy
-        mask[: self.size] = 1
         values = np.zeros(full, self.type)
         values[: min(full, self.size)] = data[:full]
         lists = self.schema.field("ids").type
         for at in range(0, sequences, self.rows):
             n = min(self.rows, sequences - at)
             part = slice(at * self.length, (at + n) * self.length)
+            real = np.minimum(self.size - np.arange(at, at + n) * self.length, self.length)  # ids before the padding
+            kinds, kind = np.unique(-real, return_inverse=True)  # full sequences first; all of them share one mask
+            mask = (np.arange(self.length) < -kinds[:, None]).astype(np.uint8).ravel()  # bytes: a reader needs no copy
             self.writer.write_batch(pa.RecordBatch.from_arrays([
                 pa.FixedSizeListArray.from_arrays(pa.array(values[part], lists.value_type), type=lists),
-                pa.FixedSizeListArray.from_arrays(pa.array(mask[part]), type=self.schema.field("mask").type),
+                pa.ListViewArray.from_arrays(
+                    pa.array(kind * self.length, pa.int32()), pa.array(np.full(n, self.length), pa.int32()), pa.array(mask)),
                 pa.array(self.pieces[at : at + n], self.schema.field("pieces").type)], schema=self.schema))
         rest = data[full:]
         self.held, self.size = ([rest.tobytes()] if len(rest) else []), len(rest)
@@ -203,9 +211,10 @@ def sequence(reader: pa.ipc.RecordBatchFileReader, i: int, rows: int = ROWS) ->
     """Sequence i of a file: ids and mask, both views of it. All batches but the last are full."""
     batch = reader.get_batch(i // rows)
     length = batch.schema.field("ids").type.list_size
-    at = (i % rows) * length
-    mask = batch.column("mask").values.slice(at, length)
-    return batch.column("ids").values.slice(at, length).to_numpy(), mask.to_numpy()
+    at = i % rows
+    masks = batch.column("mask")
+    mask = masks.values.slice(masks.offsets[at].as_py(), length)
+    return batch.column("ids").values.slice(at * length, length).to_numpy(), mask.to_numpy()
 
 
 def read_documents(spark: SparkSession, manifest: DataFrame, kind: str = "bigint", key: str = "doc_id") -> DataFrame:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from hazardframe.llm import binary, queries, warc
@@ -43,6 +44,33 @@ def test_token_files_odd_rows(spark):
     assert binary.read_documents(spark, binary.write(df.limit(0), BYTES)).count() == 0
 
 
+def test_masks_of_full_sequences_lie_in_a_file_once(tmp_path):
+    schema = binary.file_schema(16, pa.uint16(), pa.int64())
+    with open(tmp_path / "x.arrow", "wb") as f:
+        packer = binary.Packer(f, schema, np.dtype("<u2"), 16, 4)
+        for key in range(9):
+            packer.add(key, np.arange(10, dtype="<u2").tobytes())
+        packer.close()
+    reader = binary.open_file(f"file://{tmp_path}/x.arrow")
+    found = [binary.sequence(reader, i, rows=4) for i in range(6)]
+    assert [mask.sum() for _, mask in found] == [16] * 5 + [10] and all(len(mask) == 16 for _, mask in found)
+    assert np.concatenate([ids[mask == 1] for ids, mask in found]).tolist() == [*range(10)] * 9
+    assert [len(reader.get_batch(b).column("mask").values) for b in range(2)] == [16, 32]
+
+
+def test_words_of_late_are_not_learned_again(monkeypatch):
+    monkeypatch.setattr(binary, "REMEMBERED", 40)
+    lib, coder, learned = Tokenizer.from_file(BYTES), binary.Library(BYTES), []
+    learn = coder._learn
+    monkeypatch.setattr(coder, "_learn", lambda words: (learned.extend(words), learn(words)))
+    for i in range(30):
+        text = "a common word, " + " ".join(f"w{i}x{j}" for j in range(7))
+        (ids,) = coder.encode([text])
+        assert np.frombuffer(ids, coder.type).tolist() == lib.encode(text, add_special_tokens=False).ids
+        assert len(coder.seen) <= 40 // 2 and len(coder.before) <= 40 // 2 + 9
+    assert learned.count("common") == 1 and len(learned) == 2 + 30 * 7
+
+
 def plain_warc(rows):
     best = {}
     for page, html in rows:
