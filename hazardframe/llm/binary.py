@@ -12,10 +12,10 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -67,21 +67,36 @@ class Library:
         ends = [*starts[1:], len(data)]
         self.seen.update(zip(words, [data[a:b] for a, b in zip(starts, ends, strict=True)], strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian integers of `type`."""
-        plain = [even(t) and not any(s in t for s in self.special) for t in texts]
-        # Uneven texts go to the library whole, of the others the first word, which has no space.
-        cut = [t.split(" ") if p else [t] for t, p in zip(texts, plain, strict=True)]
-        first = self._whole([words.pop(0) for words in cut])
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some distinct words; those that are not remembered are learned."""
         seen, before = self.seen, self.before
-        new = set(filterfalse(seen.__contains__, chain.from_iterable(cut)))
-        seen.update([(w, before[w]) for w in new if w in before])
-        new = [w for w in new if w not in seen]
+        found = list(map(seen.get, words))
+        missing = [i for i, x in enumerate(found) if x is None]
+        seen.update([(words[i], before[words[i]]) for i in missing if words[i] in before])
+        new = [words[i] for i in missing if words[i] not in seen]
         if new:
             self._learn(new)
-        out = [f + b"".join(map(seen.__getitem__, words)) for f, words in zip(first, cut, strict=True)]
+        for i in missing:
+            found[i] = seen[words[i]]
         if len(seen) > REMEMBERED // 2:  # words of late stay, the older half goes
             self.seen, self.before = {}, seen
+        return found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian integers of `type`."""
+        # Uneven texts go to the library whole, of the others the first word, which has no space.
+        cut = [t.partition(" ") if even(t) and not any(s in t for s in self.special) else (t, "", "") for t in texts]
+        out = self._whole([c[0] for c in cut])
+        longer = [i for i, c in enumerate(cut) if c[2]]
+        if longer:
+            lists = pc.split_pattern(pa.array([cut[i][2] for i in longer], pa.large_string()), " ")
+            words = lists.flatten().dictionary_encode()
+            ids = pa.array(self._known(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(words.indices)
+            _, ends, data = ids.buffers()
+            ends = np.frombuffer(ends, np.int64)[lists.offsets.to_numpy()].tolist()
+            data = memoryview(data)
+            for i, a, b in zip(longer, ends, ends[1:], strict=False):
+                out[i] += data[a:b]
         return out
 
 
