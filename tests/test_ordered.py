@@ -84,3 +84,34 @@ def test_folds_are_even(spark):
     folds = stratified_folds(df, "label", ["id"], 5).groupBy("label", "fold").count().collect()
     assert len(folds) == 15
     assert {r["count"] for r in folds} <= {6, 7}
+
+
+def test_cuts_are_those_of_all_hashes(spark):
+    """Small classes, with ranks before the first row, and one without a label."""
+    from hazardframe.functions.scalar import row_hash
+
+    sizes = {0: 3000, 1: 40, 2: 1, None: 5}
+    df = spark.createDataFrame([(i, label) for label, n in sizes.items() for i in range(n)], "id int, label int").repartition(6)
+    df = df.withColumn("id", F.monotonically_increasing_id()).persist()
+    parts = stratified_split(df, "label", ["id"]).withColumn("h", row_hash(["id"], 42)).collect()
+    for label, n in sizes.items():
+        order = [r["part"] for r in sorted((r for r in parts if r["label"] == label), key=lambda r: r["h"])]
+        tests = round(n * 0.2) if label is not None else 0
+        assert order == ["test"] * tests + ["train"] * (n - tests)
+    folds = stratified_folds(df, "label", ["id"], 3).withColumn("h", row_hash(["id"], 42)).collect()
+    order = [r["fold"] for r in sorted((r for r in folds if r["label"] == 0), key=lambda r: r["h"])]
+    assert order == [0] * 1000 + [1] * 1000 + [2] * 1000
+
+
+def test_a_split_shuffles_few_hashes(spark):
+    """Ranges of the hash that hold no cut are not shuffled row by row."""
+    from hazardframe.operators import split
+
+    seen = []
+    plain = split.value_counts
+    split.value_counts = lambda df, *a: seen.append(df.count()) or plain(df, *a)
+    try:
+        stratified_split(spark.range(20000).withColumn("label", F.lit(1)), "label", ["id"]).count()
+    finally:
+        split.value_counts = plain
+    assert seen and seen[0] < 200
