@@ -142,3 +142,50 @@ def test_sketches_stay_close(spark, sf_dir):
     assert exact.columns == sketch.columns and exact.count() == sketch.count()
     top = [df.agg(F.max("cout_estime").alias("m")).first()["m"] for df in (exact, sketch)]
     assert top[0] == pytest.approx(top[1], rel=0.01)
+
+
+def files_under(folder):
+    import os
+
+    return [os.path.join(at, f) for at, _, names in os.walk(folder) for f in names]
+
+
+def test_slices_hold_every_row_once(spark, sf_dir, cleaned, monkeypatch):
+    from hazardframe.functions import joins as J
+    from hazardframe.operators.quality import before_after
+
+    raw = incidents(spark, sf_dir, tie_key=True)
+    written = []
+    keep = J._stored
+    monkeypatch.setattr(J, "_stored", lambda parts, name: written.append((name, len(parts))) or keep(parts, name))
+    monkeypatch.setattr(J, "SLICE_BYTES", J.slices_of(raw) and 100_000)
+    assert J.slices_of(raw) > 1
+    sliced = clean_incidents(raw, TIE_KEY, drop=TIE_KEY)
+    assert {name: n > 1 for name, n in written}["repaired"] and dict(written)["coherent"] > 1
+    assert sliced.exceptAll(cleaned).count() == 0 and sliced.count() == cleaned.count()
+    assert before_after(raw.drop(*TIE_KEY), cleaned).first()["rows_raw"] == raw.count()
+
+
+def test_rows_without_an_id_are_in_a_slice(spark):
+    from hazardframe.functions.joins import store_sliced
+
+    df = spark.range(50).select(F.when(F.col("id") % 3 != 0, F.col("id")).alias("k"), (F.col("id") % 7).alias("v"))
+    stored = store_sliced(df, "sliced", "k", 4)
+    assert stored.exceptAll(df).count() == 0 and stored.count() == 50
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from hazardframe.functions.joins import store
+
+    jsc = spark.sparkContext._jsc.sc()
+    folders = [str(d) for d in jsc.env().blockManager().diskBlockManager().localDirs()]
+    shuffles = lambda: {f for d in folders for f in files_under(d) if "/shuffle_" in f}
+    before = shuffles()
+    store(spark.range(1000).withColumn("k", F.col("id") % 13).repartition(4, "k"), "shuffled")
+    for _ in range(20):
+        if shuffles() <= before:
+            break
+        time.sleep(0.25)
+    assert shuffles() <= before
