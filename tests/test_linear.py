@@ -95,3 +95,13 @@ def test_long_and_short_paths_have_the_same_values(monkeypatch):
     assert np.allclose(first, trees.shapley(paths, x, 3))
     prediction = sum(np.array([((r[:d] > low) & (r[:d] <= high)).all() for r in x])[:, None] * v for _, low, high, _, v in paths)
     assert np.allclose(first.sum(axis=1) + trees.expected(paths), prediction)
+
+
+def test_labelled_rows_are_found_once(spark, rows, monkeypatch):
+    stored = {}
+    keep = L.store
+    monkeypatch.setattr(L, "store", lambda df, name: stored.setdefault(name, keep(df, name)))
+    space = {"maxIter": (1, 2, 1), "maxDepth": (1, 2, 1)}
+    assert len(L.search(rows, ["accident_id"], space, trials=1, folds=2, labelled_rows=300)) == 1
+    whole = L.sample_rows(rows, 300, "accident_id")
+    assert stored["sample"].count() == 300 and stored["sample"].exceptAll(whole).count() == 0
